@@ -68,18 +68,18 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
         head = _HEAD[data]
         out["n_chars"][part] = _sums(head, offs)
         out["word_chars"][part] = _sums(head & ~tk.SPACE[data], offs)
-        words, at = tk.word_hashes(data, offs, fold=False)
+        starts, ends, at = tk.word_bounds(data, offs)
+        words = tk.hashed(data, starts, ends, fold=False)
+        out["n_short"][part] = _sums(ends - starts <= 3, at)
+        upper, lower = (np.concatenate([[0], np.cumsum(_CLASSES[k][data], dtype=np.int64)]) for k in ("n_upper", "n_lower"))
+        out["n_caps_words"][part] = _sums((upper[ends] > upper[starts]) & (lower[ends] == lower[starts]), at)
         out["n_words"][part] = np.diff(at)
         raw = data.tobytes()
         for i in range(hi - lo):
             own = words[at[i] : at[i + 1]]
             out["n_repeat_words"][lo + i] = repeated_words(own)
             out["n_distinct"][lo + i] = len(np.unique(own))
-            text = raw[offs[i] : offs[i + 1]]
-            pieces = text.split()
-            out["n_short"][lo + i] = sum(len(w) <= 3 for w in pieces)
-            out["n_caps_words"][lo + i] = sum(w.isupper() for w in pieces)
-            lines = [x for x in text.split(b"\n") if x.strip()]
+            lines = [x for x in raw[offs[i] : offs[i + 1]].split(b"\n") if x.strip()]
             out["n_lines"][lo + i] = len(lines)
             out["n_dup_lines"][lo + i] = len(lines) - len(set(lines))
     return out

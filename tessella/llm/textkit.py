@@ -62,11 +62,11 @@ def blocks(texts: pa.Array, target: int = 1 << 19) -> Iterator[tuple[int, int, n
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word in order, index of each text's first word with the total appended)."""
+def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start of every word, its end, index of each text's first word with the total appended)."""
     n = len(data)
     if n == 0:
-        return np.zeros(0, U), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     word = ~SPACE[data]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
@@ -75,12 +75,23 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[
     inner = inner[(inner > 0) & (inner < n)]
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts = np.flatnonzero(first)
+    return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offs, "left")
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word in order, index of each text's first word with the total appended)."""
+    starts, ends, at = word_bounds(data, offs)
+    return hashed(data, starts, ends, fold), at
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each run of bytes."""
+    n = len(data)
     up, down = _power_tables(n)
     total = np.zeros(n + 1, U)
     np.cumsum((_FOLDED if fold else _TABLE)[data] * up[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-    return hashes, np.searchsorted(starts, offs, "left")
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
 def ngrams(words: np.ndarray, n: int = 5) -> np.ndarray:
