@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import quality_classifier, quality_rules
+from tessella.llm import html_extraction, quality_classifier, quality_rules, warc
 
-_MODULES = [quality_classifier, quality_rules]
+_MODULES = [quality_classifier, quality_rules, html_extraction, warc]
 
 
 def queries():
