@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import html_extraction, lm_scoring, quality_classifier, quality_rules, warc
+from tessella.llm import html_extraction, jaccard_join, lm_scoring, quality_classifier, quality_rules, warc
 
-_MODULES = [quality_classifier, quality_rules, lm_scoring, html_extraction, warc]
+_MODULES = [quality_classifier, quality_rules, lm_scoring, html_extraction, warc, jaccard_join]
 
 
 def queries():
