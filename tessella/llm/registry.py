@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontamination, html_extraction, jaccard_join, lm_scoring, quality_classifier, quality_rules, warc
+from tessella.llm import decontamination, html_extraction, jaccard_join, lm_scoring, mixing, quality_classifier, quality_rules, warc
 
-_MODULES = [quality_classifier, quality_rules, lm_scoring, decontamination, html_extraction, warc, jaccard_join]
+_MODULES = [quality_classifier, quality_rules, lm_scoring, mixing, decontamination, html_extraction, warc, jaccard_join]
 
 
 def queries():
