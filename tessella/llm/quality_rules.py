@@ -77,7 +77,8 @@ def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(names[i]).alias(f"s{i}") for i in range(d)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in _pairs(d))]
 
     def measured(state: DataFrame) -> DataFrame:
-        return vectors.join(state, "g").select("g", *names, _distance(d, names).alias("distance2"))
+        more = [c for c in state.columns if c == "bound"]
+        return vectors.join(state, "g").select("g", *names, _distance(d, names).alias("distance2"), *more)
 
     # Start: medians, and spreads from the absolute deviations' median, both over all documents of the group.
     centre = vectors.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(names)))
@@ -85,12 +86,13 @@ def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float
     state = stored(spread.select("g", *(f"m{i}" for i in range(d)), *((F.lit(1.0) / (F.pow(F.col(f"a{i}") * 1.4826, 2) + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _pairs(d))), "mcd")
     shrunk = h / chi2_cdf(chi2_quantile(h, d), d + 2)
     for k in range(steps + 1):
-        near = measured(state)
+        # Bounds are a table of one row a group, so that documents meet state and bound in one join that is
+        # broadcast by size, and never lie by group in one task.
         if k < steps:
-            bound = near.groupBy("g").agg(F.percentile_approx("distance2", h, 2000).alias("bound"))
+            bound = stored(measured(state).groupBy("g").agg(F.percentile_approx("distance2", h, 2000).alias("bound")), "mcd")
         else:
             bound = state.select("g", F.lit(chi2_quantile(reweight, d)).alias("bound"))
-        inside = near.join(bound, "g").where("distance2 <= bound").groupBy("g").agg(*sums)
+        inside = measured(state.join(bound, "g")).where("distance2 <= bound").groupBy("g").agg(*sums)
         factor = shrunk if k < steps else reweight / chi2_cdf(chi2_quantile(reweight, d), d + 2)
         state, last = _state(inside, d, floors, factor, "mcd"), state
         drop_stored(vectors.sparkSession, last)
