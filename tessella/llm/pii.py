@@ -204,7 +204,7 @@ class Tagger:
         return tags
 
 
-def train(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 260, batch: int = 48, length: int = 64, seed: int = 11) -> Tagger:
+def train(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 500, batch: int = 24, length: int = 48, seed: int = 11) -> Tagger:
     """Adam over random windows of labelled texts; spans are (start, kind, end)."""
     model, rng = Tagger(), np.random.default_rng(seed)
     chars, gold = [], []
@@ -223,7 +223,7 @@ def train(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 2
         cut = y[:, 0] % 2 == 0  # a window that begins within a span
         y[:, 0] = np.where(cut & (y[:, 0] > 0), y[:, 0] - 1, y[:, 0])
         grad = model.gradient(x, y)
-        rate = 0.02 * min(1, step / 20) * (0.1 if step > 0.8 * steps else 1)
+        rate = 0.04 * min(1, step / 20) * (0.1 if step > 0.8 * steps else 1)
         for k, g in grad.items():
             g = np.clip(g, -1, 1)
             first[k] = 0.9 * first[k] + 0.1 * g
