@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontamination, html_extraction, jaccard_join, lm_scoring, mixing, pii, quality_classifier, quality_rules, warc
+from tessella.llm import decontamination, html_extraction, jaccard_join, lm_scoring, mixing, pii, quality_classifier, quality_rules, suffix_dedup, warc
 
-_MODULES = [quality_classifier, quality_rules, pii, lm_scoring, mixing, decontamination, html_extraction, warc, jaccard_join]
+_MODULES = [quality_classifier, quality_rules, pii, lm_scoring, mixing, decontamination, suffix_dedup, html_extraction, warc, jaccard_join]
 
 
 def queries():
