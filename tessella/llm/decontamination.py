@@ -156,7 +156,7 @@ def matches(docs: DataFrame, items: DataFrame, t: int = 75, n: int = 5) -> DataF
 
     found = None
     for rows in _blocks_of_items(items):
-        part = docs.mapInArrow(search(Items(rows, n)), kinds)
+        part = docs.mapInArrow(tk.freeing(search(Items(rows, n))), kinds)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], kinds)
 

@@ -95,7 +95,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             found = counts(batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[k]) for k in COUNTS)], [*keep, *COUNTS])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tk.freeing(run), schema)
 
 
 def ratio(num: str, den: str, floor: float) -> F.Column:

@@ -34,7 +34,7 @@ from tessella.tables import partitions, scratch_path, stored, table
 CELLS = 1 << 22
 SLICES = 64
 RANGES = 1024
-FLUSH = 1_000_000
+FLUSH = 400_000
 
 
 def node_of(grams: np.ndarray) -> int:
@@ -67,7 +67,7 @@ def sketch(docs: DataFrame, n: int = 5) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.round(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(add, schema).collect()
+    parts = docs.select("text").mapInArrow(tk.freeing(count), schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(tk.freeing(add), schema).collect()
     out = np.zeros(CELLS, np.uint8)
     for r in parts:
         out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
@@ -117,7 +117,7 @@ def _entries(docs: DataFrame, levels: np.ndarray, shares: int, t: int, n: int) -
         if total:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "share int, elements binary, nodes binary, sizes binary, positions binary, salted int")
+    return docs.select("text").mapInArrow(tk.freeing(run), "share int, elements binary, nodes binary, sizes binary, positions binary, salted int")
 
 
 def _lists(entries: DataFrame, t: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _lists(entries: DataFrame, t: int) -> DataFrame:
         cols = [grams, nodes, sizes, positions, nodes[centre], sizes[centre], positions[centre]]
         return pa.table([pa.array(x[keep].view(np.int64)) for x in cols] + [pa.array(salted[keep])], names=["element", "node", "size", "position", "centre", "centre_size", "centre_position", "salted"])
 
-    return entries.groupBy("share").applyInArrow(run, "element long, node long, size long, position long, centre long, centre_size long, centre_position long, salted boolean")
+    return entries.groupBy("share").applyInArrow(tk.freeing_group(run), "element long, node long, size long, position long, centre long, centre_size long, centre_position long, salted boolean")
 
 
 def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int) -> F.Column:
@@ -172,7 +172,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 total |= np.frombuffer(x.as_py(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["map"])
 
-    parts = wanted.select("node").coalesce(8).mapInArrow(mark, "map binary").mapInArrow(merged, "map binary").collect()
+    parts = wanted.select("node").coalesce(8).mapInArrow(tk.freeing(mark), "map binary").mapInArrow(tk.freeing(merged), "map binary").collect()
     known = np.zeros(bits // 8, np.uint8)
     for r in parts:
         known |= np.frombuffer(r["map"], np.uint8)
@@ -200,7 +200,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         cols = list(zip(*out, strict=True)) or [(), (), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "size", "elements", "parity"])
 
-    found = docs.select("text").mapInArrow(run, "node long, size long, elements binary, parity binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = docs.select("text").mapInArrow(tk.freeing(run), "node long, size long, elements binary, parity binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     name = f"tessella_sets_{uuid4().hex[:12]}"
     found.write.bucketBy(partitions(spark), "node").sortBy("node").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
@@ -234,9 +234,9 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 ok.append(100 * both >= t * (na.as_py() + nb.as_py() - both))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    near = near.mapInArrow(suffix, "a long, b long")
+    near = near.mapInArrow(tk.freeing(suffix), "a long, b long")
     full = near.join(side("a").drop("parity_a"), "a").join(side("b").drop("parity_b"), "b")
-    return full.select("a", "b", "elements_a", "elements_b", "size_a", "size_b").mapInArrow(exact, "a long, b long")
+    return full.select("a", "b", "elements_a", "elements_b", "size_a", "size_b").mapInArrow(tk.freeing(exact), "a long, b long")
 
 
 def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
@@ -250,7 +250,7 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
             found = [(len(g), node_of(g) if len(g) else None) for _, g in tk.shingles_of(b.column(1), n)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["doc_id", "n_shingles", "node"])
 
-    members = stored(docs.mapInArrow(nodes, f"doc_id {id_type}, n_shingles long, node long"), "members")
+    members = stored(docs.mapInArrow(tk.freeing(nodes), f"doc_id {id_type}, n_shingles long, node long"), "members")
     shares = 4 * partitions(spark)
     lists = stored(_lists(_entries(docs, sketch(docs, n), shares, t, n), t), "lists")
     # Stars: within each list, and between the centres of a salted list's parts.

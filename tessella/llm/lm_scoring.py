@@ -94,7 +94,7 @@ def batches_of(docs: DataFrame, fold: int) -> DataFrame:
         if ids:
             yield flush()
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"batch string, ids array<{id_type}>, sizes array<bigint>, words binary, counts binary, tokens binary")
+    out = docs.select("doc_id", "text").mapInArrow(tk.freeing(run), f"batch string, ids array<{id_type}>, sizes array<bigint>, words binary, counts binary, tokens binary")
     name = f"tessella_batches_{uuid4().hex[:12]}"
     out.write.option("compression", "uncompressed").bucketBy(partitions(spark), "batch").sortBy("batch").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
@@ -112,7 +112,7 @@ def _word_requests(batches: DataFrame, shares: int) -> DataFrame:
                 spans = [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
                 yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in spans], pa.int32()), pa.array([batch] * len(spans)), pa.array([words[lo:hi].tobytes() for _, lo, hi in spans], pa.binary()), pa.array([pack(counts[lo:hi]) for _, lo, hi in spans], pa.binary())], ["share", "batch", "keys", "counts"])
 
-    return batches.select("batch", "words", "counts").mapInArrow(run, "share int, batch string, keys binary, counts binary")
+    return batches.select("batch", "words", "counts").mapInArrow(tk.freeing(run), "share int, batch string, keys binary, counts binary")
 
 
 def _totals(requests: DataFrame, shares: int, plain: bool) -> DataFrame:
@@ -136,7 +136,7 @@ def _totals(requests: DataFrame, shares: int, plain: bool) -> DataFrame:
             "ranks": pa.array([pack(rank[s]) if plain else b"" for s in spans], pa.binary()), "distinct": pa.array(first((total > 0).sum()), pa.int64()), "tokens": pa.array(first(total.sum()), pa.int64()),
         })
 
-    return requests.groupBy("share").applyInArrow(answer, "batch string, share int, totals binary, ranks binary, distinct long, tokens long")
+    return requests.groupBy("share").applyInArrow(tk.freeing_group(answer), "batch string, share int, totals binary, ranks binary, distinct long, tokens long")
 
 
 def _words(state: pa.Table, answers: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def _pair_requests(batches: DataFrame, answers: DataFrame, shares: int, fold: in
         out = [(i, at) for i in range(shares) if len(at := np.flatnonzero(share == i))]
         return pa.table({"share": pa.array([i for i, _ in out], pa.int32()), "batch": pa.array([row["batch"]] * len(out)), "keys": pa.array([pack(np.diff(pairs[at], prepend=np.uint64(0))) for _, at in out], pa.binary()), "counts": pa.array([pack(counts[at]) for _, at in out], pa.binary())})
 
-    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, "share int, batch string, keys binary, counts binary")
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tk.freeing_cogroup(run), "share int, batch string, keys binary, counts binary")
 
 
 def _estimates(state: pa.Table, found: pa.Table, shares: int):
@@ -238,7 +238,7 @@ def scores(docs: DataFrame, fold: int = 1) -> DataFrame:
         cells, count = np.unique(np.column_stack([bucket(context), _binned(both / np.maximum(context, 1)), _binned(word / max(n - 1, 1))]), axis=0, return_counts=True)
         return pa.table({"b": cells[:, 0], "p2": cells[:, 1], "p1": cells[:, 2], "n": pa.array(count, pa.int64())})
 
-    cells = sides.applyInArrow(histogram, "b long, p2 long, p1 long, n long").groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()
+    cells = sides.applyInArrow(tk.freeing_cogroup(histogram), "b long, p2 long, p1 long, n long").groupBy("b", "p2", "p1").agg(F.sum("n").alias("n")).collect()
     value = lambda k: 0.0 if k < 0 else 2.0 ** (-k / BINS)
     weights = em([(r["b"], value(r["p2"]), value(r["p1"]), r["n"]) for r in cells], uniform)
 
@@ -254,7 +254,7 @@ def scores(docs: DataFrame, fold: int = 1) -> DataFrame:
             "train_tokens": pa.array([int(n)] * len(at), pa.int64()), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(mixed, at),
         })
 
-    return sides.applyInArrow(final, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return sides.applyInArrow(tk.freeing_cogroup(final), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

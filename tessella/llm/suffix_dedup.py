@@ -358,7 +358,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
         if ids:
             yield flush()
 
-    out = docs.select("doc_id", "text").mapInArrow(run, f"batch string, ids array<{id_type}>, sizes array<bigint>, text binary, anchors binary")
+    out = docs.select("doc_id", "text").mapInArrow(tk.freeing(run), f"batch string, ids array<{id_type}>, sizes array<bigint>, text binary, anchors binary")
     name = f"tessella_texts_{uuid4().hex[:12]}"
     out.write.option("compression", "uncompressed").bucketBy(partitions(spark), "batch").sortBy("batch").option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
@@ -527,12 +527,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": state.column("ids")[0].values, "n_bytes": pa.array(np.diff(b.offs)), "n_removed": pa.array(n, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": digest})
 
     def answered(requests: DataFrame, label: str) -> DataFrame:
-        return stored(requests.groupBy("share").applyInArrow(_answer, ANSWER), label)
+        return stored(requests.groupBy("share").applyInArrow(tk.freeing_group(_answer), ANSWER), label)
 
     def asked(f, answers: DataFrame, schema: str) -> DataFrame:
-        return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(f, schema)
+        return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tk.freeing_cogroup(f), schema)
 
-    answers = answered(texts.groupBy("batch").applyInArrow(first, REQUEST), "shared")
+    answers = answered(texts.groupBy("batch").applyInArrow(tk.freeing_group(first), REQUEST), "shared")
     answers = answers.unionByName(answered(asked(second, answers, REQUEST), "placed"))
     answers = answers.unionByName(answered(asked(third, answers, REQUEST), "compared"))
     return asked(final, answers, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

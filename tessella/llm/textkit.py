@@ -1,13 +1,14 @@
 """Vectorised text kernels: blocks of texts as bytes, word hashes, n-gram hashes, sliding minima.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  All kernels work on numpy arrays over blocks of about
-half a megabyte (one text at least), so memory is bounded by the longest text and not by the Arrow batch.
+a quarter megabyte (one text at least), so memory is bounded by the longest text and not by the Arrow batch.
 A 64-bit hash stands for a word or an n-gram.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def blocks(texts: pa.Array, target: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, target: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) for runs of rows of about ``target`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -129,3 +130,48 @@ def packed(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(a) for a in arrays], out=offs[1:])
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, kind))
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def freeing(f: Callable) -> Callable:
+    """A batch function that releases memory when its partition ends."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def freeing_group(f: Callable) -> Callable:
+    """The same for a function of one group."""
+
+    def run(group):
+        try:
+            return f(group)
+        finally:
+            release()
+
+    return run
+
+
+def freeing_cogroup(f: Callable) -> Callable:
+    """The same for a function of two groups."""
+
+    def run(left, right):
+        try:
+            return f(left, right)
+        finally:
+            release()
+
+    return run
