@@ -49,6 +49,8 @@ _M = np.uint64(0xA24BAED4963EE407)
 U = np.uint64
 NONE = np.uint64(2**63 - 1)
 #: Parts of a window, each shared by all strings with so many bytes before the anchor: (from, to) within the window.
+#: Strings with 26 to 34, 18 to 25, 9 to 17 and 0 to 8 bytes before the anchor.
+BEFORE = [(26, 34), (18, 25), (9, 17), (0, 8)]
 PARTS = [(REACH - 26, REACH + GRAM), (REACH - 18, REACH + GRAM + 9), (REACH - 9, REACH + GRAM + 17), (REACH, REACH + GRAM + 26)]
 
 
@@ -149,10 +151,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         live = live[bound[j] > group[live]]
         after[live] = after[after[live]]
     # Emit each group's order by the rank of its members' next smaller suffixes, in ascending order.
-    rank = place
+    rank, v_rank, v_after, v_bound = place, v_place, memoryview(after), memoryview(bound)
     starts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
     size = np.diff(np.append(starts, n))
     for s, m in zip(starts[(size > 1) & (starts >= floor)].tolist(), size[(size > 1) & (starts >= floor)].tolist(), strict=True):
+        if m < 24:
+            left_, now_ = [], []
+            for i in v_order[s : s + m]:
+                (left_ if v_bound[v_after[i]] == s else now_).append(i)
+            done = s
+            while now_:
+                now_.sort(key=lambda i: v_rank[v_after[i]])
+                for i in now_:
+                    v_order[done] = i
+                    v_rank[i] = done
+                    done += 1
+                if not left_:
+                    break
+                placed = set(now_)
+                now_, left_ = [i for i in left_ if v_after[i] in placed], [i for i in left_ if v_after[i] not in placed]
+            continue
         own = order[s : s + m].copy()
         nxt = after[own]
         inner = bound[nxt] == s
@@ -265,8 +283,14 @@ class Batch:
         self.status = np.zeros(len(self.rep), np.uint8)
         for s, at in self.spread(self.h[self.rep]):
             self.status[at] = np.frombuffer(answers[2, s], np.uint8)
-        self.ask = self.rep[self.status == 2]
-        hot = self.rep[self.status == 4]
+        self.ask = self.rep[self.status >= 16]
+        # A window is asked only as far as the strings of its parts reach.
+        agree = self.status[self.status >= 16] - 16
+        most, least = np.zeros(len(agree), np.int64), np.full(len(agree), REACH)
+        for k, (lo, hi) in enumerate(BEFORE):
+            own = (agree >> k) & 1 == 1
+            most[own], least[own] = np.maximum(most[own], hi), np.minimum(least[own], lo)
+        self.ask_left, self.ask_right = np.minimum(self.left[self.ask], most), np.minimum(self.right[self.ask], REACH - least)
         # Strings of hot windows: digests and their least owner here.
         digests, self.gram_at, self.gram_owner = [np.zeros(0, U)], [np.zeros(0, np.int64)], None
         members = np.flatnonzero(self.status[self.of] == 4)
@@ -283,7 +307,6 @@ class Batch:
         d = self.digest[order]
         new = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
         self.grams, self.gram_least = d[new], self.gram_owner[order][new]
-        del hot
 
     def windows(self, at: np.ndarray) -> np.ndarray:
         """The asked windows' bytes, zero where the text ends."""
@@ -308,8 +331,8 @@ class Batch:
         for s, at in self.spread(self.h[self.ask]):
             masks[at] = unpack(answers[3, s])
         mask_of = np.zeros(len(self.rep), U)
-        mask_of[self.status == 2] = masks
-        mine = np.flatnonzero((self.status[self.of] == 2) & (self.owner == least[self.of]) & (mask_of[self.of] > 0))
+        mask_of[self.status >= 16] = masks
+        mine = np.flatnonzero((self.status[self.of] >= 16) & (self.owner == least[self.of]) & (mask_of[self.of] > 0))
         for j in range(REACH + 1):
             own = mine[(mask_of[self.of[mine]] >> U(j)) & U(1) == 1]
             own = own[(self.left[own] >= j) & (self.right[own] >= REACH - j)]
@@ -408,20 +431,18 @@ def _answer(group: pa.Table) -> pa.Table:
             least = owners[by[new]]
             status = np.where(owners > least[of], 1, 3).astype(np.uint8)
             # Different windows of an anchor that agree in a part.
-            h, p, which = flat[by[new]], parts[by[new]], np.arange(new.sum())
-            need = np.zeros(len(h), bool)
+            h, p = flat[by[new]], parts[by[new]]
+            need = np.zeros(len(h), np.uint8)
             for k in range(len(PARTS)):
                 part = (p >> U(16 * k)) & U(0xFFFF)
                 o = np.lexsort((part, h))
                 same = (h[o][1:] == h[o][:-1]) & (part[o][1:] == part[o][:-1])
-                need[o[1:][same]] = True
-                need[o[:-1][same]] = True
+                need[o[1:][same]] |= 1 << k
+                need[o[:-1][same]] |= 1 << k
             _, inverse = np.unique(h, return_inverse=True)
-            count = np.bincount(inverse, need.astype(np.int64))[inverse] if len(h) else np.zeros(0)
-            want = np.where(need, np.where(count > HOT, 4, 2), 3)
-            status = np.where(status == 1, 1, want[of[:]]).astype(np.uint8)
-            # A window kept by one owner alone, in several batches of that owner, is asked in each.
-            del which
+            count = np.bincount(inverse, need > 0)[inverse] if len(h) else np.zeros(0)
+            want = np.where(need > 0, np.where(count > HOT, 4, 16 + need), 3)
+            status = np.where(status == 1, 1, want[of]).astype(np.uint8)
             got = [status[a:z].tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
         elif kind == 3:
             texts = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(r["values"]), np.uint8).reshape(-1, WIDE + 2) for r in own])
@@ -510,7 +531,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         out = []
         for s, at in b.spread(b.h[b.ask]):
             own = b.ask[at]
-            body = np.concatenate([b.windows(own), b.left[own, None].astype(np.uint8), b.right[own, None].astype(np.uint8)], 1)
+            body = np.concatenate([b.windows(own), b.ask_left[at, None].astype(np.uint8), b.ask_right[at, None].astype(np.uint8)], 1)
             out.append((s, b.name, 3, _sorted_pack(b.h[own]), zip_.compress(body.tobytes()), pack(b.owner[own])))
         out += [(s, b.name, 4, _sorted_pack(b.grams[at]), b"", pack(b.gram_least[at])) for s, at in b.spread(b.grams)]
         return _request(out)
