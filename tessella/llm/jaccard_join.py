@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit as tk
+from tessella.llm.bitmap import bitmap, may_hold
 from tessella.llm.lm_scoring import pack, unpack
 from tessella.operators.components import star_components
 from tessella.tables import partitions, scratch_path, stored, table
@@ -156,26 +157,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, packed set and range parities of the wanted nodes, bucketed by node.  A bitmap of fixed size keeps most
     other sets from the shuffle; a semi-join drops the rest."""
     spark = docs.sparkSession
-    bits = 1 << 23
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
-            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["map"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            for x in b.column(0):
-                total |= np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["map"])
-
-    parts = wanted.select("node").coalesce(8).mapInArrow(tk.freeing(mark), "map binary").mapInArrow(tk.freeing(merged), "map binary").collect()
-    known = np.zeros(bits // 8, np.uint8)
-    for r in parts:
-        known |= np.frombuffer(r["map"], np.uint8)
+    known = bitmap(wanted.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,8 +166,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 if not len(grams):
                     continue
                 node = node_of(grams)
-                at = (node % (1 << 64)) % bits
-                if node in seen or not (known[at >> 3] >> (at & 7)) & 1:
+                if node in seen or not may_hold(known, node):
                     continue
                 seen.add(node)
                 short = np.unique(grams >> np.uint64(16))

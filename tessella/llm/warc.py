@@ -7,8 +7,9 @@ Content-Length.  ``build_index`` sorts captures by reversed-host URL key into zl
 level) and keeps the first key of each block in a sparse directory (the first level); ``lookup`` binary-searches the
 directory and a block, then reads just the record's byte range through Hadoop's file system.
 
-Payloads travel compressed through the one shuffle that joins them to their decision.  The join is on page_id, the
-decision per payload is an aggregate, so equal payloads by the million meet in no task.
+Payloads that occur once are written where they are read; a bitmap of fixed size tells them.  The others travel
+compressed through the one shuffle that joins them to their decision.  The join is on page_id, the decision per payload
+is an aggregate, so equal payloads by the million meet in no task.
 
 Null html is an empty payload; null urls are written as an empty target; equal page_ids with equal payloads are one
 capture each and, if theirs is the largest id, each a response; empty tables give empty archives and an empty index.
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.bitmap import bitmap, may_hold
 from tessella.tables import scratch_path, stored, table
 
 END = "\r\n\r\n"
@@ -55,8 +57,14 @@ def surt(url: str) -> str:
     return f"{key}){parts.path or '/'}{'?' + parts.query if parts.query else ''}".lower()
 
 
-def _captures(pages: DataFrame, payload: bool) -> DataFrame:
-    """page_id, url, digest, size and, if wanted, the compressed payload of each row."""
+def _key(digest: str) -> int:
+    """64 bits of a digest."""
+    return int.from_bytes(base64.b32decode(digest)[:8], "little", signed=True)
+
+
+def _captures(pages: DataFrame, payload: bool, known=None, repeated: bool = True) -> DataFrame:
+    """page_id, url, digest, size and, if wanted, the compressed payload of each row; with a bitmap ``known``, only of
+    rows whose digest it may hold (or, not ``repeated``, surely does not)."""
     id_type = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +72,11 @@ def _captures(pages: DataFrame, payload: bool) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 raw = [(x.as_py() or "").encode() for x in part.column(2)]
-                cols = [part.column(0), part.column(1), pa.array(map(digest_of, raw), pa.string()), pa.array(map(len, raw), pa.int64())]
+                digests = [digest_of(x) for x in raw]
+                if known is not None:
+                    own = [k for k, d in enumerate(digests) if may_hold(known, _key(d)) == repeated]
+                    part, raw, digests = part.take(pa.array(own, pa.int64())), [raw[k] for k in own], [digests[k] for k in own]
+                cols = [part.column(0), part.column(1), pa.array(digests, pa.string()), pa.array(map(len, raw), pa.int64())]
                 if payload:
                     cols.append(pa.array([zlib.compress(x, 6) for x in raw], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "digest", "size", "packed"][: len(cols)])
@@ -79,11 +91,11 @@ def _record(page_id, url: str, digest: str, size: int, packed: bytes, original)
     url = re.sub(r"[\r\n]+", "", url or "")
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uid[:8]}-{uid[8:12]}-{uid[12:16]}-{uid[16:20]}-{uid[20:32]}>",
-        f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {page_id}", f"X-Payload-Length: {size}",
+        f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-Id: {page_id}",
     ]
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"X-Refers-To-Page-Id: {original}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else size}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"X-Payload-Length: {size}", f"X-Refers-To-Page-Id: {original}"]
+    head.append(f"Content-Length: {0 if revisit else size}")
     return "\r\n".join(head) + END + ("" if revisit else zlib.decompress(packed).decode())
 
 
@@ -91,10 +103,17 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, records_per_file: int =
     """Writes the archives to the shared folder; returns their path."""
     spark = pages.sparkSession
     first = _captures(pages, False).where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("copies"))
-    again = first.where("copies > 1").drop("copies")
+    again = stored(first.where("copies > 1").drop("copies"), "again")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_key(d) for d in b.column(0).to_pylist()], pa.int64())], ["key"])
+
+    known = bitmap(again.select("digest").mapInArrow(keys, "key long"))
     # Decisions are small rows: every page whose payload is met more than once and that is not the largest id of it.
-    decided = _captures(pages, False).join(again, ["digest", "size"]).where("page_id <> original").select("page_id", "digest", "original").distinct()
-    rows = _captures(pages, True).join(decided, ["page_id", "digest"], "left")
+    decided = _captures(pages, False, known).join(again, ["digest", "size"]).where("page_id <> original").select("page_id", "digest", "original").distinct()
+    rows = _captures(pages, True, known).join(decided, ["page_id", "digest"], "left")
+    single = _captures(pages, True, known, False).withColumn("original", F.lit(None).cast(dict(pages.dtypes)["page_id"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,7 +123,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, records_per_file: int =
 
     path = scratch_path(spark, "warc")
     packed = rows.select("page_id", "url", "digest", "size", F.when(F.col("original").isNull(), F.col("packed")).alias("packed"), "original")
-    packed.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    for part in (single, packed):
+        part.mapInArrow(run, "value string").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
     return path
 
 
