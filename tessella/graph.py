@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.tables import partitions, scratch_path
+from tessella.tables import bucketed
 
 
 class Graph:
@@ -25,9 +23,7 @@ class Graph:
 
     def bucketed(self) -> Graph:
         """The same graph with its edges written once, bucketed by source: joins on src then move only the other side."""
-        name = f"tessella_edges_{uuid4().hex[:12]}"
-        self.edges.write.bucketBy(partitions(self.spark), "src").sortBy("src").option("path", scratch_path(self.spark, name)).saveAsTable(name)
-        return Graph(self.spark.table(name), self.n)
+        return Graph(bucketed(self.edges, "src", "edges"), self.n)
 
     def symmetrized(self) -> Graph:
         """Each edge and its reverse, weights copied, nothing dropped."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -49,5 +50,23 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, key: str, label: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written to the shared folder, bucketed and sorted by ``key``: later joins and groups by it move only their
+    other side.  The table's name is dropped when the program ends, its files with the JVM."""
+    spark = df.sparkSession
+    name = f"tessella_{label}_{uuid.uuid4().hex[:12]}"
+    df.write.option("compression", codec).bucketBy(partitions(spark), key).sortBy(key).option("path", scratch_path(spark, label)).saveAsTable(name)
+    atexit.register(_drop, spark, name)
+    return spark.table(name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # the session is gone, and with it the name
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
