@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from tessella.llm import textkit as tk
 from tessella.llm.bitmap import bitmap, may_hold
 from tessella.llm.lm_scoring import pack, unpack
 from tessella.operators.components import star_components
-from tessella.tables import partitions, scratch_path, stored, table
+from tessella.tables import bucketed, partitions, stored, table
 
 CELLS = 1 << 22
 SLICES = 64
@@ -82,7 +81,8 @@ def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
 
 def _entries(docs: DataFrame, levels: np.ndarray, shares: int, t: int, n: int) -> DataFrame:
     """(share, elements, nodes, sizes, positions, salted): prefix entries of runs of documents, by share of element."""
-    hot = 2 * np.log2(max(4096, 2.0 ** (levels.max() / 2) / 16)) if len(levels) else 0
+    total = float((2.0 ** (levels / 2.0) - 1).sum())
+    hot = 2 * np.log2(max(4096.0, total / (4 * shares)))  # a quarter of what a share holds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], [], [], []]
@@ -156,7 +156,6 @@ def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int)
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """node, packed set and range parities of the wanted nodes, bucketed by node.  A bitmap of fixed size keeps most
     other sets from the shuffle; a semi-join drops the rest."""
-    spark = docs.sparkSession
     known = bitmap(wanted.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +181,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "size", "elements", "parity"])
 
     found = docs.select("text").mapInArrow(tk.freeing(run), "node long, size long, elements binary, parity binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    name = f"tessella_sets_{uuid4().hex[:12]}"
-    found.write.bucketBy(partitions(spark), "node").sortBy("node").option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(found, "node", "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:

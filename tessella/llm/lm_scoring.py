@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit as tk
-from tessella.tables import partitions, scratch_path, stored, table
+from tessella.tables import bucketed, partitions, stored, table
 
 END = np.uint64(0x5DEECE66D1234567)
 BATCH_TOKENS = 3_000_000
@@ -59,7 +58,6 @@ def _train(doc_id, fold: int) -> bool:
 def batches_of(docs: DataFrame, fold: int) -> DataFrame:
     """The corpus as a table of batches, bucketed by batch: ids, token numbers, distinct word hashes, their training
     counts, and every token as an index into them."""
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +93,7 @@ def batches_of(docs: DataFrame, fold: int) -> DataFrame:
             yield flush()
 
     out = docs.select("doc_id", "text").mapInArrow(tk.freeing(run), f"batch string, ids array<{id_type}>, sizes array<bigint>, words binary, counts binary, tokens binary")
-    name = f"tessella_batches_{uuid4().hex[:12]}"
-    out.write.option("compression", "uncompressed").bucketBy(partitions(spark), "batch").sortBy("batch").option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(out, "batch", "batches", "uncompressed")
 
 
 def _word_requests(batches: DataFrame, shares: int) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import textkit as tk
 from tessella.llm.lm_scoring import pack, unpack
-from tessella.tables import partitions, scratch_path, stored, table
+from tessella.tables import bucketed, partitions, stored, table
 
 SPAN, GRAM = 50, 16
 REACH = SPAN - GRAM  # bytes of a string before or after its anchor, together
@@ -347,7 +346,6 @@ class Batch:
 
 
 def batches_of(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
     id_type = dict(docs.dtypes)["doc_id"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +380,7 @@ def batches_of(docs: DataFrame) -> DataFrame:
             yield flush()
 
     out = docs.select("doc_id", "text").mapInArrow(tk.freeing(run), f"batch string, ids array<{id_type}>, sizes array<bigint>, text binary, anchors binary")
-    name = f"tessella_texts_{uuid4().hex[:12]}"
-    out.write.option("compression", "uncompressed").bucketBy(partitions(spark), "batch").sortBy("batch").option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(out, "batch", "texts", "uncompressed")
 
 
 REQUEST = "share int, batch string, kind int, keys binary, values binary, owners binary"
