@@ -32,11 +32,12 @@ INLINE = {
 CUT = {"head", "nav", "aside", "footer", "form", "button", "select", "option", "dialog", "menu", "template", "svg", "math", "canvas", "object", "audio", "video", "fieldset", "datalist"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 CUT_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment",
-    "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
-    "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "pager", "popup", "promo", "promoted", "recommended", "related",
-    "respond", "share", "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "adbox", "ads", "adsense", "adslot", "adunit", "adv", "advert", "advertisement", "advertising", "adverts", "alert", "announcement", "aside", "banner", "breadcrumb", "breadcrumbs", "comment",
+    "comments", "commentlist", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar",
+    "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "pager", "popup", "promo", "promoted", "rail", "recommended", "related",
+    "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+CONTENT_WORDS = {"article", "content", "entry", "headline", "post", "story", "title"}
 LEAVES = {"p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "address"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "blockquote", "main"}
@@ -104,9 +105,9 @@ class Tree:
         role = next((m[2].strip("\"'").lower() for m in _NAMED.finditer(attributes) if m[1].lower() == "role"), "") if "role" in attributes else ""
         cut = self.cut[top] or tag in CUT or role in CUT_ROLES or (bool(words & CUT_WORDS) and tag not in ("html", "body", "article", "main"))
         cut = cut or (tag == "article" and bool(words & {"comment", "comments"}))
-        if tag == "header" or (words == {"header"} and tag == "div"):
+        if tag == "header" or ("header" in words and tag in ("div", "section") and not words & CONTENT_WORDS):
             cut = cut or not any(self.tag[e] in ("article", "main") for e in self._open)
-        if re.search(r"(^|\s)hidden(\s|=|$)", attributes):
+        if "hidden" in attributes and re.search(r"(^|\s)hidden(\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
             cut = True
         if cut and not self.cut[top] and inline:  # what a cut inline element holds must not join the text around it
             self._text.append(" ")
