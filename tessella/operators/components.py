@@ -37,8 +37,10 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stored(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
     # Two sums that only stay alike when the set of edges does.
     mark = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("v", "u", F.lit(7))), F.lit(0))).first()
-    seen = None
+    seen = mark(edges)
     for _ in range(max_rounds):
+        if not seen[0]:
+            break
         last, edges = edges, stored(_small_star(_large_star(edges)), "edges")
         drop_stored(edges.sparkSession, last)
         now = mark(edges)
