@@ -251,16 +251,18 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     label = stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
     more = placed(stars.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"), label, "a", "b").where("of_a <> of_b").select("a", "b")
     more = stored(more, "more")
-    links = links.unionByName(stored(verified(more, sets, t), "links"))
-    label = stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
+    if not more.isEmpty():
+        links = links.unionByName(stored(verified(more, sets, t), "links"))
+        label = stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
     # Lists whose members are in different components still.
     entries = placed(lists.select("element", "node", "size", "position"), label, "node")
     mixed = entries.groupBy("element").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo <> hi").select("element")
     entries = stored(entries.join(mixed, "element", "left_semi"), "mixed")
-    other = entries.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "of_node")))
-    rest = entries.join(other, (entries["element"] == other["element"]) & (F.col("of_node") < F.col("other_of_node")) & may_link("size", "position", "other_size", "other_position", t))
-    rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct().join(first.unionByName(more), ["a", "b"], "left_anti")
-    links = links.unionByName(stored(verified(rest, sets, t), "links"))
+    if not entries.isEmpty():
+        other = entries.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "of_node")))
+        rest = entries.join(other, (entries["element"] == other["element"]) & (F.col("of_node") < F.col("other_of_node")) & may_link("size", "position", "other_size", "other_position", t))
+        rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct().join(first.unionByName(more), ["a", "b"], "left_anti")
+        links = links.unionByName(stored(verified(rest, sets, t), "links"))
     # Components of smallest ids, then every row's own.
     owner = stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner")), "owner")
     as_u, as_v = (owner.select(F.col("node").alias(c), F.col("owner").alias(d)) for c, d in (("a", "u"), ("b", "v")))
@@ -270,12 +272,13 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of smallest id (one row of it if rows repeat)."""
+    """One document of each component, the one of smallest id (one row of it if rows repeat); those without an id stay."""
     found = stored(components(docs), "components")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
