@@ -147,9 +147,13 @@ def _lists(entries: DataFrame, t: int) -> DataFrame:
 
 
 def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int) -> F.Column:
-    """Length filter and positional filter of two entries of one list."""
+    """Length filter and positional filter of two entries of one list.
+
+    The positional filter takes the entry for the first element that the two sets share: nothing before it counts.
+    A linked pair passes at its first shared element; at later ones it need not.
+    """
     a, b, i, j = (F.col(x) for x in (size_a, size_b, position_a, position_b))
-    most = F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)
+    most = F.least(a - i, b - j)
     return (100 * F.least(a, b) >= t * F.greatest(a, b)) & ((100 + t) * most >= t * (a + b))
 
 
