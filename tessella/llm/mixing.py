@@ -5,6 +5,11 @@ the target totals of each margin; a cell's factor is its weight over its tokens.
 probability ``rate * factor`` (at most 1) against a uniform number made from the MD5 of its id, so a sample is the
 same wherever and whenever it is drawn.
 
+A factor over 1 / rate asks for more tokens than a cell has.  ``sampled`` therefore rakes with weights of at most
+tokens / rate, and later rounds hand the excess on to the other cells of the margins; a margin misses its target where
+not even all its documents reach it.  ``op5_mixing`` is the result of its SQL, which rakes without bounds, cuts
+probabilities at 1 and hands nothing on.
+
 The topic is a form of text: tabular, list, brief, article or long (any Column can be given instead).  Targets are the
 shares of tokens to the power ``flatten``, which lifts small sources, languages and topics.  Cells are a table of
 distinct margins: raked in one partition while they are few (counted first), by distributed windows beyond that.
@@ -58,8 +63,8 @@ def cells_of(keyed_docs: DataFrame, flatten: float = FLATTEN) -> DataFrame:
     return stored(cells, "cells")
 
 
-def raked(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Cells with ``factor``: the raked weight over the tokens."""
+def raked(cells: DataFrame, rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
+    """Cells with ``factor``: the raked weight over the tokens, at most ``most`` if that is given."""
     keys = [f"__{m}" for m in MARGINS]
     if cells.count() <= FEW_CELLS:
         cells = cells.coalesce(1)
@@ -67,7 +72,8 @@ def raked(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for k in range(rounds):
         for key in keys:
             total = F.sum("w").over(Window.partitionBy(key))
-            cells = cells.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"to{key}") / total).otherwise(F.col("w")))
+            w = F.when(total > 0, F.col("w") * F.col(f"to{key}") / total).otherwise(F.col("w"))
+            cells = cells.withColumn("w", w if most is None else F.least(w, most * F.col("tokens")))
         if k % 4 == 3 and k + 1 < rounds:  # keeps plans short
             cells = stored(cells, "raked")
             cells = cells.coalesce(1) if cells.count() <= FEW_CELLS else cells
@@ -79,10 +85,10 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def sampled(docs: DataFrame, topic: Column | None = None, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+def sampled(docs: DataFrame, topic: Column | None = None, rate: float = RATE, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
     """The sampled documents, with __n, __topic, __factor and __p beside their columns."""
     rows = keyed(docs, topic)
-    factors = raked(cells_of(rows), rounds)
+    factors = raked(cells_of(rows), rounds, 1 / rate if bounded else None)
     rows = rows.join(factors, [f"__{m}" for m in MARGINS]).withColumn("__p", F.least(F.lit(1.0), rate * F.col("__factor")))
     return rows.where(uniform(F.col("doc_id")) < F.col("__p"))
 
@@ -95,7 +101,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, topic, weight and probability of the sampled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return sampled(docs).select("doc_id", F.col("__n").alias("n_tokens"), F.col("__topic").alias("topic"), F.round("__factor", 6).alias("weight"), F.round("__p", 6).alias("probability"))
+    return sampled(docs, bounded=False).select("doc_id", F.col("__n").alias("n_tokens"), F.col("__topic").alias("topic"), F.round("__factor", 6).alias("weight"), F.round("__p", 6).alias("probability"))
 
 
 def _oracle() -> str:

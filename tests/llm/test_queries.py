@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import decontamination, jaccard_join, mixing, pii, quality_rules, registry
@@ -151,6 +152,22 @@ def test_mixing(spark, corpus):
     assert (factors["__factor"] >= 0).all()
 
 
+def test_mixing_hands_on_what_a_cell_cannot_give(spark):
+    size = {("a", "x"): 600, ("a", "y"): 60, ("b", "x"): 40, ("b", "y"): 20}
+    rows = [(f"{s}{l}{i}", "word " * 40, l, s) for (s, l), n in size.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
+    drawn = mixing.sampled(docs, topic=F.lit("t")).groupBy("source", "lang").agg(F.max("__p").alias("p")).collect()
+    given = {(r["source"], r["lang"]): r["p"] * size[r["source"], r["lang"]] for r in drawn}
+    assert given[("b", "y")] == 20  # unbounded, its factor is 2.55 at a rate of a half
+    for k in (0, 1):
+        held, got = Counter(), Counter()
+        for cell in size:
+            held[cell[k]] += size[cell]
+            got[cell[k]] += given[cell]
+        for m in held:
+            assert got[m] / sum(got.values()) == pytest.approx(held[m] ** 0.7 / sum(n**0.7 for n in held.values()), abs=0.002)
+
+
 def test_decontamination(spark, corpus, documents):
     items = [(r["item_id"], shingles(r["text"]), words(r["text"])) for r in spark.read.parquet(f"{corpus}/benchmark.parquet").collect()]
     want = Counter()
