@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A page is read into a tree of elements with blocks of text.  Elements that never hold the article (scripts, forms,
-navigation, footers, adverts, notices, reader comments, ...) are cut by element, role or class name.  Every paragraph
+navigation, footers, adverts, notices, reader comments, ...) are cut by element, role or class name.  A class name
+alone does not cut what holds the page: an element with a name for content or with modifiers only (has-sidebar) stays,
+and so does one that holds the only article or most of the paragraphs; its inner elements are judged anew.  Every paragraph
 of the rest passes points for its length and commas to its ancestors, fewer the higher they are; a container's points
 are discounted by its link density.  The best container (the ``article`` or ``main`` element around it, if there is
 one) is kept with those siblings that look like content, and nothing inside it is dropped but what was cut before.
@@ -37,6 +39,11 @@ CUT_WORDS = {
     "navigation", "newsletter", "notice", "notices", "overlay", "pagination", "pager", "popup", "promo", "promoted", "rail", "recommended", "related",
     "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Of CUT_WORDS, those that page builders also give to the wrapper of an article.
+LAYOUT_WORDS = {
+    "alert", "announcement", "aside", "banner", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "notice", "notices", "overlay", "pager", "pagination", "promo",
+    "promoted", "rail", "search", "share", "sharing", "sidebar", "skyscraper", "social", "toolbar", "widget",
+}
 CONTENT_WORDS = {"article", "content", "entry", "headline", "post", "story", "title"}
 LEAVES = {"p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "address"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,17 +53,76 @@ _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>""")
 _NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_MODIFIER = re.compile(r"(^|[-_])(has|no|not|with|without|hide)[-_].*|.*[-_](enabled|disabled|free)$", re.I)
 _ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
+def named_cut(kind: str) -> tuple[str, set[str]]:
+    """The first class name or id that has a word of CUT_WORDS (or header) and all such words; empty if there is none,
+    or if a name beside it has words for content and none of these."""
+    first, found = "", set()
+    content = False
+    for name in (_MODIFIER.sub("", x) for x in kind.split()):
+        words = {w.lower() for w in _WORDS.findall(name)}
+        cut = words & CUT_WORDS | ({"header"} if "header" in words and not words & CONTENT_WORDS else set())
+        content = content or (not cut and bool(words & CONTENT_WORDS))
+        if cut:
+            first, found = first or name, found | cut
+    return ("", set()) if content else (first, found)
+
+
 class Tree:
     """Elements as parallel lists, and the text blocks in page order as (element, text, characters in links)."""
 
     def __init__(self, page: str):
-        self.tag, self.parent, self.cut, self.kind = ["#root"], [-1], [False], [""]
+        self.tag, self.parent, self.cut = ["#root"], [-1], [False]
+        self.named: dict[int, tuple[str, set[str]]] = {}  # elements that their class name may cut
         self.blocks: list[tuple[int, str, int]] = []
         self._open, self._text, self._linked = [0], [], 0
         self._read(page)
+        if self.named:
+            self._settle()
+
+    def _settle(self) -> None:
+        """Cut the elements of ``named`` that do not hold the page, outermost first, with all they hold."""
+        n = len(self.tag)
+        chars, worth = [0] * n, [0.0] * n
+        for owner, text, links in self.blocks:
+            for e in self._ancestors(owner):
+                chars[e] += len(text)
+                worth[e] += points(text) * (1 - links / len(text))
+        outer = [0] * n  # the outermost named element around, itself included
+        whole = [0] * n  # the innermost article or main around, itself included
+        for e in range(1, n):
+            outer[e] = outer[self.parent[e]] or (e if e in self.named else 0)
+            whole[e] = e if self.tag[e] in ("article", "main") and not self.cut[e] else whole[self.parent[e]]
+        articles = [e for e in range(1, n) if whole[e] == e and chars[e]]
+        total = sum(worth[e] for e in range(1, n) if self.parent[e] == 0) + sum(points(t) * (1 - k / len(t)) for o, t, k in self.blocks if o == 0)
+        paragraphs = any(not outer[o] and (self.tag[o] == "p" or points(t) * (1 - k / len(t)) > 0) for o, t, k in self.blocks)
+        outside = sum(points(t) * (1 - k / len(t)) for o, t, k in self.blocks if not outer[o])
+        apart = [e for e in articles if not outer[e]]
+        group: dict[str, float] = {}
+        for e, (name, _) in self.named.items():
+            if not any(self.named.get(a, ("",))[0] == name for a in self._ancestors(self.parent[e])):
+                group[name] = group.get(name, 0.0) + worth[e]
+        for e in range(1, n):
+            if self.cut[self.parent[e]]:
+                self.cut[e] = True
+            elif e in self.named:
+                name, words = self.named[e]
+                around = whole[self.parent[e]]
+                rival = any(a != around and not self.within(a, e) and not self.within(e, a) for a in apart)
+                inside = [a for a in articles if self.within(a, e)] if not around and not apart else []
+                # Teasers and comments come as articles too, several at a time.
+                one = sum(not whole[self.parent[a]] for a in inside) == 1 or (bool(inside) and worth[e] >= outside)
+                holds = any(self.tag[a] == "main" for a in inside) or (one and (words <= LAYOUT_WORDS or not paragraphs))
+                share = max(worth[e], group[name] if "widget" in words else 0.0)
+                most = worth[e] > 0 and 2 * share > total and not rival and (words <= LAYOUT_WORDS or not paragraphs)
+                self.cut[e] = not (holds or most)
+        self.blocks = [b for b in self.blocks if not self.cut[b[0]]]
+
+    def within(self, e: int, top: int) -> bool:
+        return any(a == top for a in self._ancestors(e))
 
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
@@ -103,18 +169,25 @@ class Tree:
         kind = " ".join(m[2].strip("\"'") for m in _NAMED.finditer(attributes) if m[1].lower() in ("class", "id")) if "=" in attributes else ""
         words = {w.lower() for w in _WORDS.findall(kind)}
         role = next((m[2].strip("\"'").lower() for m in _NAMED.finditer(attributes) if m[1].lower() == "role"), "") if "role" in attributes else ""
-        cut = self.cut[top] or tag in CUT or role in CUT_ROLES or (bool(words & CUT_WORDS) and tag not in ("html", "body", "article", "main"))
+        cut = self.cut[top] or tag in CUT or role in CUT_ROLES
+        name, cut_words = ("", set()) if cut or tag in ("html", "body", "article", "main") else named_cut(kind)
         cut = cut or (tag == "article" and bool(words & {"comment", "comments"}))
-        if tag == "header" or ("header" in words and tag in ("div", "section") and not words & CONTENT_WORDS):
-            cut = cut or not any(self.tag[e] in ("article", "main") for e in self._open)
+        inner = any(self.tag[e] in ("article", "main") for e in self._open)
+        if tag == "header":
+            cut = cut or not inner
+        if cut_words == {"header"} and (inner or tag not in ("div", "section")):
+            cut_words = set()
         if "hidden" in attributes and re.search(r"(^|\s)hidden(\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
             cut = True
+        if cut_words and inline:  # its text is part of the block around it
+            cut = True
         if cut and not self.cut[top] and inline:  # what a cut inline element holds must not join the text around it
             self._text.append(" ")
         self.tag.append(tag)
         self.parent.append(top)
         self.cut.append(cut)
-        self.kind.append(kind)
+        if cut_words and not cut:
+            self.named[len(self.tag) - 1] = (name, cut_words)
         self._open.append(len(self.tag) - 1)
 
     def _read(self, page: str) -> None:

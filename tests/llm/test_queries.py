@@ -245,6 +245,34 @@ def test_html_extraction(spark, corpus):
     assert extract("<<<>>><p") != None  # noqa: E711
 
 
+PROSE = "A paragraph of the story, with commas, long enough to count, and then some more words to it."
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ["class='content has-sidebar'", "id='page' class='no-sidebar'", "class='post-content share-enabled'", "class='page--with-sidebar'", "class='sidebar-left'", "class='header-sticky'", "id='cookie-recipes'"],
+)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main>{}</main>"])
+def test_html_wrapper_names_cut_no_page(wrapper, inner):
+    from tessella.llm.html_extraction import extract
+
+    body = f"<h1>Head</h1><p>{PROSE}</p><div class='share'><p>Share, share, share this with friends!</p></div><p>{PROSE}</p>"
+    page = f"<body><nav>Home</nav><div {wrapper}>{inner.format(body)}<div class='comments'><p>Nice, really, what a great post, thanks!</p></div></div></body>"
+    assert extract(page) == f"Head\n\n{PROSE}\n\n{PROSE}"
+
+
+def test_html_builder_widgets_are_kept_and_notices_cut():
+    from tessella.llm.html_extraction import extract
+
+    widget = "<div class='elementor-widget elementor-widget-text-editor'>{}</div>"
+    assert extract("<body>" + widget.format(f"<p>{PROSE}</p>" * 2) + "</body>") == f"{PROSE}\n\n{PROSE}"
+    assert extract("<body><div>" + widget.format(f"<p>{PROSE}</p>") * 3 + "</div></body>") == "\n\n".join([PROSE] * 3)
+    more = "<article><p>A teaser, with commas, of another page, to be read next.</p></article>" * 2
+    for kind in ("related", "sidebar", "comments"):
+        assert extract(f"<body><div>{f'<p>{PROSE}</p>' * 3}</div><div class='{kind}'>{more}</div></body>") == "\n\n".join([PROSE] * 3)
+        assert extract(f"<body><article><p>{PROSE}</p><p>{PROSE}</p><div class='{kind}'>{more}</div></article></body>") == f"{PROSE}\n\n{PROSE}"
+
+
 def test_warc(spark, corpus):
     from tessella.llm import warc
 
