@@ -6,7 +6,9 @@ alone does not cut what holds the page: an element with a name for content or wi
 and so does one that holds the only article or most of the paragraphs; its inner elements are judged anew.  Every paragraph
 of the rest passes points for its length and commas to its ancestors, fewer the higher they are; a container's points
 are discounted by its link density.  The best container (the ``article`` or ``main`` element around it, if there is
-one) is kept with those siblings that look like content, and nothing inside it is dropped but what was cut before.
+one) is kept with those siblings that look like content: those with a share of its points, text of few links between
+such siblings, and lists, tables and quotations of few links after them.  Nothing inside them is dropped but what was
+cut before.
 
 Null, empty or text-free html gives an empty text.  Tags left open, cut off or closed twice are tolerated; character
 references are decoded; any white space within a block becomes one space; blocks are joined by two newlines in page
@@ -17,7 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,8 @@ LAYOUT_WORDS = {
 }
 CONTENT_WORDS = {"article", "content", "entry", "headline", "post", "story", "title"}
 LEAVES = {"p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "address"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXT = {"ul", "ol", "dl", "table", "blockquote", "pre", "figure"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WALLS = {"table", "ul", "ol", "dl", "td", "th", "article", "section", "div", "body", "blockquote", "main"}
 
@@ -248,6 +252,30 @@ def points(text: str) -> float:
     return 0.0 if len(text) < 25 else 1 + text.count(",") + min(len(text) // 100, 3)
 
 
+def _siblings(tree: Tree, best: int, final: list[float], chars: list[int], density: Callable[[int], float]) -> set[int]:
+    """The siblings of the best container that belong to the article, itself included."""
+    row = [e for e in range(1, len(tree.tag)) if tree.parent[e] == tree.parent[best] and chars[e]]
+    own: dict[int, list[str]] = {e: [] for e in row if tree.tag[e] == "p"}
+    for owner, text, _ in tree.blocks:
+        if owner in own:
+            own[owner].append(text)
+    kept = set()
+    for e in row:
+        text = " ".join(own.get(e, ()))
+        if e == best or 0 < final[e] >= 0.2 * final[best] or tree.tag[e] in ("h1", "h2") or (tree.tag[e] == "p" and (density(e) < 0.25 if len(text) > 80 else density(e) == 0 and text.endswith((".", "!", "?")))):
+            kept.add(e)
+    body = [k for k, e in enumerate(row) if e == best or (e in kept and tree.tag[e] not in HEADINGS)]
+    last = max(body)  # up to it any text of few links is kept, beyond it only headings with text of the article below
+    plain = [k for k, e in enumerate(row) if density(e) < 0.25]
+    body += [k for k in plain if k > body[0] and tree.tag[row[k]] in TEXT]  # after them, text blocks
+    kept |= {row[k] for k in body} | {row[k] for k in plain if body[0] < k < max(body) and (k < last or tree.tag[row[k]] in HEADINGS)}
+    for k in range(body[0] - 1, -1, -1):  # headings right above the first
+        if tree.tag[row[k]] not in HEADINGS or density(row[k]) >= 0.25:
+            break
+        kept.add(row[k])
+    return kept
+
+
 def extract(page: str | None) -> str:
     """The article's text, empty if there is none."""
     if not page:
@@ -275,13 +303,7 @@ def extract(page: str | None) -> str:
     whole = next((e for want in ("article", "main") for e in tree._ancestors(best) if tree.tag[e] == want), None)
     kept = {best if whole is None else whole}
     if whole is None and best > 0:
-        bar = max(10.0, 0.2 * final[best])
-        for e in range(1, n):
-            if tree.parent[e] != tree.parent[best] or e == best or not chars[e]:
-                continue
-            text = " ".join(t for o, t, _ in tree.blocks if o == e)
-            if final[e] >= bar or tree.tag[e] in ("h1", "h2") or (tree.tag[e] == "p" and (density(e) < 0.25 if len(text) > 80 else density(e) == 0 and text.endswith((".", "!", "?")))):
-                kept.add(e)
+        kept |= _siblings(tree, best, final, chars, density)
     inside = [False] * n
     for e in range(n):
         inside[e] = e in kept or (e > 0 and inside[tree.parent[e]])

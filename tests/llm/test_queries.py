@@ -273,6 +273,20 @@ def test_html_builder_widgets_are_kept_and_notices_cut():
         assert extract(f"<body><article><p>{PROSE}</p><p>{PROSE}</p><div class='{kind}'>{more}</div></article></body>") == f"{PROSE}\n\n{PROSE}"
 
 
+def test_html_siblings_of_the_best_container():
+    from tessella.llm.html_extraction import extract
+
+    nine = "One, two, three, four, five, six, seven, eight, nine"  # 9 points
+    twelve = "One, two, three, four, five, six, seven, eight, nine, ten, eleven, twelve"
+    sections = f"<section><p>{twelve}</p></section><section><p>{nine}</p></section>"
+    assert extract(f"<body><div>{sections}</div></body>") == f"{twelve}\n\n{nine}"
+    links = "<ul><li><a href=a>Another page</a></li><li><a href=b>And one more</a></li></ul>"
+    parts = ["<section><p>" + f"{twelve}, " * 3 + "</p></section>", "<h3>Steps</h3>", "<ul><li>Cut</li><li>Glue</li></ul>", "<section><p>" + f"{twelve}, " * 3 + "</p></section>", "<h4>Sizes</h4>", "<table><tr><td>Long</td><td>2</td></tr></table>", "<blockquote>As told</blockquote>"]
+    page = f"<body><div>{links}{''.join(parts)}<h3>More to read</h3>{links}<div>Imprint</div></div></body>"
+    text = extract(page)
+    assert [x for x in text.split("\n\n") if not x.startswith("One")] == ["Steps", "Cut", "Glue", "Sizes", "Long", "2", "As told"] and text.count("One, two") == 6
+
+
 def test_warc(spark, corpus):
     from tessella.llm import warc
 
