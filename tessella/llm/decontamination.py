@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit as tk
-from tessella.tables import table
+from tessella.tables import table, with_row_key
 
 PERMUTATIONS = 128
 BLOCK_BYTES = 4_000_000
@@ -168,9 +168,13 @@ def _holds(own: np.ndarray, block: Items, k: int, n: int) -> bool:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no test item."""
-    found = matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__id"), "left_anti")
+    """The documents that hold no test item.
+
+    The match is the row's own: documents without an id, and those that share one, stay or go each by its own text.
+    """
+    rows = with_row_key(docs, "decontamination_rows")
+    found = matches(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(found, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

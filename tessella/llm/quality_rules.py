@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import docstats
-from tessella.tables import drop_stored, stored, table
+from tessella.tables import drop_stored, stored, table, with_row_key
 
 VECTOR = ["x_words", "x_length", "x_symbols", "x_dup", "x_repeat", "x_upper", "x_loud", "x_caps"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -99,12 +99,12 @@ def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float
     return vectors.join(state, "g", "left").withColumn("distance2", _distance(d, names)).drop(*state.columns)
 
 
-def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999) -> DataFrame:
-    """One row per document: doc_id, the base counts, ``base_failed``, ``distance2`` and ``kept``."""
-    stats = docstats.statistics(docs, ["doc_id", "lang", "source"])
+def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999, key: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id (or another ``key``), the base counts, ``base_failed``, ``distance2`` and ``kept``."""
+    stats = docstats.statistics(docs, [key, "lang", "source"])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     level = lambda n, *cols: F.concat(F.lit(n), F.to_json(F.struct(*cols)))
-    rows = stored(stats.select("doc_id", *BASE, failed.alias("base_failed"), level("2", "lang", "source").alias("k2"), level("1", "lang").alias("k1"), *docstats.features(VECTOR)), "stats")
+    rows = stored(stats.select(key, *BASE, failed.alias("base_failed"), level("2", "lang", "source").alias("k2"), level("1", "lang").alias("k1"), *docstats.features(VECTOR)), "stats")
     usable = rows.where("not base_failed")
     sizes = stored(usable.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n2")), "sizes")
     pooled = sizes.where(F.col("n2") < min_group).groupBy("k1").agg(F.sum("n2").alias("n1"))
@@ -114,7 +114,7 @@ def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999) -> D
     vectors = stored(usable.join(groups, "k2").drop("k1", "k2"), "vectors")
     judged = outliers(vectors.where("g is not null"), VECTOR, docstats.spreads(VECTOR))
     inside = F.coalesce(F.col("distance2") <= chi2_quantile(cutoff, len(VECTOR)), F.lit(True))
-    out = [*("doc_id", *BASE, "base_failed"), "distance2"]
+    out = [*(key, *BASE, "base_failed"), "distance2"]
     none = F.lit(None).cast("double").alias("distance2")
     judged = judged.select(*out, inside.alias("kept"))
     unplaced = vectors.where("g is null").select(*out[:-1], none, F.lit(True).alias("kept"))
@@ -122,9 +122,13 @@ def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999) -> D
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    verdict = verdicts(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdict, docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """The documents that the rules keep, with the columns they came with.
+
+    The verdict is the row's own: documents without an id, and those that share one, stay or go each by its own text.
+    """
+    rows = with_row_key(docs, "quality_rows")
+    verdict = verdicts(rows, key="__row").where("not kept").select("__row")
+    return rows.join(verdict, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,11 @@ def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, label: str) -> DataFrame:
+    """``df`` with a unique ``__row``, written so that the key is the same however often and wherever it is read."""
+    return stored(df.withColumn("__row", F.monotonically_increasing_id()), label)
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files behind a table of ``stored`` that no later step reads."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -377,6 +377,16 @@ def test_pipeline(spark, corpus, documents):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, corpus).collect()} == set(new)
 
 
+def test_stages_judge_rows_and_not_ids(spark, corpus, documents):
+    good, item = documents[5][1], spark.read.parquet(f"{corpus}/benchmark.parquet").where("item_id = 1").first()["text"]
+    texts = [good, documents[6][1], "too short", f"{documents[9][1]} {item}", documents[7][1], "short too", f"{documents[11][1]} {item}"]
+    docs = spark.createDataFrame([(None if i < 4 else 1, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    kept = lambda stage: Counter((r["doc_id"], r["text"]) for r in stage(spark, docs, corpus).collect())
+    ids = [None] * 4 + [1] * 3
+    assert kept(quality_rules.stage) == Counter((ids[k], texts[k]) for k in (0, 1, 3, 4, 6))
+    assert kept(decontamination.stage) == Counter((ids[k], texts[k]) for k in (0, 1, 2, 4, 5))
+
+
 @pytest.mark.parametrize("name", [*registry.queries(), "pipeline"])
 def test_empty_tables(spark, empty, name):
     query = corpus_pipeline.run if name == "pipeline" else registry.queries()[name]
