@@ -5,8 +5,8 @@ documents of smallest Mahalanobis distance, and re-estimate location and scatter
 follows.  A document beyond the chi-square cut-off is rejected.  Estimates are sums over all documents of a group,
 with map-side partial sums, so a group of any size meets no single task; states are one row a group.
 
-Groups of fewer than ``min_group`` usable documents pool with their language, then with everything; if even that
-has fewer, there is no estimate and nothing is rejected.  Null languages and sources are groups of their own.
+Groups of fewer than ``min_group`` usable documents are held against the estimate of all usable documents of their
+language, else of all usable documents; only if even these are fewer, there is none and nothing is rejected.  Null languages and sources are groups of their own.
 Ties share a distance and so a verdict; repeated rows count as often as they are there; an empty table gives none.
 """
 
@@ -107,12 +107,17 @@ def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999, key:
     rows = stored(stats.select(key, *BASE, failed.alias("base_failed"), level("2", "lang", "source").alias("k2"), level("1", "lang").alias("k1"), *docstats.features(VECTOR)), "stats")
     usable = rows.where("not base_failed")
     sizes = stored(usable.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n2")), "sizes")
-    pooled = sizes.where(F.col("n2") < min_group).groupBy("k1").agg(F.sum("n2").alias("n1"))
-    total = pooled.where(F.col("n1") < min_group).agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n0")).first()["n0"]
+    langs = sizes.groupBy("k1").agg(F.sum("n2").alias("n1"))
+    total = sizes.agg(F.coalesce(F.sum("n2"), F.lit(0)).alias("n0")).first()["n0"]
     rest = F.lit("0") if total >= min_group else F.lit(None).cast("string")
-    groups = stored(sizes.join(pooled, "k1", "left").select("k2", F.when(F.col("n2") >= min_group, F.col("k2")).when(F.col("n1") >= min_group, F.col("k1")).otherwise(rest).alias("g")), "groups")
-    vectors = stored(usable.join(groups, "k2").drop("k1", "k2"), "vectors")
-    judged = outliers(vectors.where("g is not null"), VECTOR, docstats.spreads(VECTOR))
+    groups = stored(sizes.join(langs, "k1").select("k1", "k2", F.when(F.col("n2") >= min_group, F.col("k2")).when(F.col("n1") >= min_group, F.col("k1")).otherwise(rest).alias("g")), "groups")
+    # A group is judged by ``g``; estimates of a language or of all take in the documents of other groups too.
+    wide = [groups.where("g = k1").select(F.col("k1").alias("of"), "g").distinct(), groups.where("g = '0'").select("g").distinct()]
+    others = groups.select("k1", "k2", F.col("g").alias("own_g"))
+    others = others.join(wide[0], F.col("k1") == F.col("of")).select("k2", "g", "own_g").unionByName(others.crossJoin(wide[1]).select("k2", "g", "own_g"))
+    part = groups.select("k2", "g", F.lit(True).alias("own")).unionByName(others.where("not g <=> own_g").select("k2", "g", F.lit(False).alias("own")))
+    vectors = stored(usable.join(stored(part, "groups"), "k2").drop("k1", "k2"), "vectors")
+    judged = outliers(vectors.where("g is not null"), VECTOR, docstats.spreads(VECTOR)).where("own")
     inside = F.coalesce(F.col("distance2") <= chi2_quantile(cutoff, len(VECTOR)), F.lit(True))
     out = [*(key, *BASE, "base_failed"), "distance2"]
     none = F.lit(None).cast("double").alias("distance2")

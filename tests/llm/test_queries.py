@@ -79,6 +79,21 @@ def test_quality_rules_reject_planted_outliers(spark):
     assert all(kept[i] for i in range(120)) and not any(kept[1000 + i] for i in range(6))
 
 
+def test_quality_rules_judge_rare_groups(spark):
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(1)
+    rows = [(i, prose(rng, rng.randint(40, 300)), "en", "s") for i in range(120)]
+    for i, (lang, source) in enumerate([("en", "rare"), ("xx", "s"), (None, None)]):
+        rows += [(1000 + i, prose(rng, 120), lang, source), (2000 + i, " ".join(w + "###" for w in prose(rng, 120).split()), lang, source)]
+    out = quality_rules.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas()
+    assert sorted(out["doc_id"]) == sorted(r[0] for r in rows) and out["distance2"].notna().all()
+    kept = dict(zip(out["doc_id"], out["kept"], strict=True))
+    assert all(kept[i] == (i < 2000) for i in kept)
+
+
 def test_pii(spark, corpus, documents):
     patterns = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
     checks = [lambda s: True, lambda s: all(int(x) <= 255 for x in s.split(".")), lambda s: 12 <= len(pii._digits(s)) <= 19 and pii.luhn(pii._digits(s)), lambda s: 9 <= len(pii._digits(s)) <= 15]
