@@ -4,8 +4,8 @@
 rest) and writes them through Spark's text writer with the record terminator as line separator, so every part file
 is a valid archive in whatever store the shared folder is.  ``read_archives`` parses the files again by
 Content-Length.  ``build_index`` sorts captures by reversed-host URL key into zlib-compressed blocks (the second
-level) and keeps the first key of each block in a sparse directory (the first level); ``lookup`` binary-searches the
-directory and a block, then reads just the record's byte range through Hadoop's file system.
+level) and keeps the first and last key beside each block (the first level); ``lookup`` scans these keys, bisects the
+lines of a block, then reads just the record's byte range through Hadoop's file system.
 
 Payloads that occur once are written where they are read; a bitmap of fixed size tells them.  The others travel
 compressed through the one shuffle that joins them to their decision.  The join is on page_id, the decision per payload
