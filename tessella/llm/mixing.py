@@ -1,34 +1,34 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents are summed to cells (source, language, topic).  Cell weights start as token counts and are raked in turn to
-the target totals of each margin; a cell's factor is its weight over its tokens.  A document is sampled with
-probability ``rate * factor`` (at most 1) against a uniform number made from the MD5 of its id, so a sample is the
-same wherever and whenever it is drawn.
+Documents are summed to cells (source, language, topic).  A cell's weight is its tokens times one factor of each of its
+margins; the factors are fitted in turn until every margin has its target total.  Only the three tables of factors
+change from step to step: each is a sum over the cells by one margin (combined on the map side), written and read
+again, so neither plans nor lineage grow, and no margin's cells meet in one task.
 
-A factor over 1 / rate asks for more tokens than a cell has.  ``sampled`` therefore rakes with weights of at most
-tokens / rate, and later rounds hand the excess on to the other cells of the margins; a margin misses its target where
-not even all its documents reach it.  ``op5_mixing`` is the result of its SQL, which rakes without bounds, cuts
-probabilities at 1 and hands nothing on.
+A document is sampled with probability ``rate * factor`` of its cell against a uniform number made from the MD5 of its
+id, so a sample is the same wherever and whenever it is drawn.  The rate is at most 1 / the largest factor: no
+probability is cut, and the expected tokens of every source, language and topic are in proportion to the targets.
 
 The topic is a form of text: tabular, list, brief, article or long (any Column can be given instead).  Targets are the
-shares of tokens to the power ``flatten``, which lifts small sources, languages and topics.  Cells are a table of
-distinct margins: raked in one partition while they are few (counted first), by distributed windows beyond that.
+shares of tokens to the power ``flatten``, which lifts small sources, languages and topics; nearer to 1 it lifts them
+less and samples more.
 
-Null language, source or topic is a margin of its own; null and empty texts have no tokens and factor 1 (they weigh
-nothing); repeated rows weigh once each and share their fate; an empty table gives an empty sample.
+Null language, source or topic is a margin of its own; null and empty texts have no tokens and cells without tokens
+factor 1 (they weigh nothing); repeated rows weigh once each and share their fate; an empty table gives an empty
+sample.  Documents travel as one struct beside the margins, so no name of theirs can clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.tables import stored, table
+from tessella.tables import drop_stored, stored, table
 
 ROUNDS = 12
+TOLERANCE = 1e-12
 RATE = 0.5
 FLATTEN = 0.7
-FEW_CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 MARGINS = ["source", "lang", "topic"]
 
@@ -45,39 +45,57 @@ def form(tokens: Column, text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """``docs`` with __n (tokens) and the margins __source, __lang and __topic, never null."""
+    """(doc, id, n, source, lang, topic): each document as a struct, its tokens, and its margins, never null."""
     named = lambda c: F.coalesce(c.cast("string"), F.lit("<null>"))
-    docs = docs.withColumn("__n", n_tokens())
-    return docs.withColumns({"__source": named(F.col("source")), "__lang": named(F.col("lang")), "__topic": named(topic if topic is not None else form(F.col("__n")))})
-
-
-def cells_of(keyed_docs: DataFrame, flatten: float = FLATTEN) -> DataFrame:
-    """Cells with their tokens and, by margin, the target total."""
-    keys = [f"__{m}" for m in MARGINS]
-    cells = stored(keyed_docs.groupBy(*keys).agg(F.sum("__n").cast("double").alias("tokens")), "cells")
-    for k in keys:
-        share = cells.groupBy(k).agg(F.sum("tokens").alias("t"))
-        total = share.agg(F.sum("t").alias("all"), F.sum(F.pow("t", F.lit(flatten))).alias("flat"))
-        target = share.crossJoin(F.broadcast(total))  # one row
-        cells = cells.join(target.select(k, F.when(F.col("flat") > 0, F.pow("t", F.lit(flatten)) / F.col("flat") * F.col("all")).otherwise(0.0).alias(f"to{k}")), k)
-    return stored(cells, "cells")
-
-
-def raked(cells: DataFrame, rounds: int = ROUNDS, most: float | None = None) -> DataFrame:
-    """Cells with ``factor``: the raked weight over the tokens, at most ``most`` if that is given."""
-    keys = [f"__{m}" for m in MARGINS]
-    if cells.count() <= FEW_CELLS:
-        cells = cells.coalesce(1)
-    cells = cells.withColumn("w", F.col("tokens"))
-    for k in range(rounds):
-        for key in keys:
-            total = F.sum("w").over(Window.partitionBy(key))
-            w = F.when(total > 0, F.col("w") * F.col(f"to{key}") / total).otherwise(F.col("w"))
-            cells = cells.withColumn("w", w if most is None else F.least(w, most * F.col("tokens")))
-        if k % 4 == 3 and k + 1 < rounds:  # keeps plans short
-            cells = stored(cells, "raked")
-            cells = cells.coalesce(1) if cells.count() <= FEW_CELLS else cells
-    return stored(cells.select(*keys, F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("__factor")), "factors")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), "text", "source", "lang", (F.lit(None) if topic is None else topic).cast("string").alias("topic"), n_tokens().alias("n"))
+    return rows.select("doc", "id", "n", named(F.col("source")).alias("source"), named(F.col("lang")).alias("lang"), named(F.col("topic") if topic is not None else form(F.col("n"))).alias("topic"))
+
+
+def cells_of(keyed_docs: DataFrame) -> DataFrame:
+    """(source, lang, topic, tokens) of every cell."""
+    return stored(keyed_docs.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens")), "cells")
+
+
+def targets(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataFrame:
+    """(margin, target): the margin's share of tokens to the power ``flatten``, scaled to all tokens."""
+    totals = stored(cells.groupBy(margin).agg(F.sum("tokens").alias("t")), "margin")
+    every, flat = totals.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum(F.pow("t", F.lit(flatten))), F.lit(0.0))).first()
+    return stored(totals.select(margin, (F.pow("t", F.lit(flatten)) / flat * every if flat else F.lit(0.0)).alias("target")), "targets")
+
+
+def raked(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, tolerance: float = TOLERANCE) -> DataFrame:
+    """(source, lang, topic, tokens, factor): after at most ``rounds`` rounds over the margins, fewer where no factor
+    moves by more than ``tolerance``."""
+    spark = cells.sparkSession
+    wanted = {m: targets(cells, m, flatten) for m in MARGINS}
+    factors = {m: wanted[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in MARGINS}
+    old: dict[str, DataFrame] = {}
+    for _ in range(rounds):
+        for m in MARGINS:
+            weight, rows = F.col("tokens"), cells
+            for other in MARGINS:
+                if other != m:
+                    rows, weight = rows.join(factors[other], other), weight * F.col(f"f_{other}")
+            totals = rows.groupBy(m).agg(F.sum(weight).alias("t")).join(wanted[m], m).join(factors[m].withColumnRenamed(f"f_{m}", "last"), m)
+            fitted = totals.select(m, F.when(F.col("t") > 0, F.col("target") / F.col("t")).otherwise(F.col("last")).alias(f"f_{m}"), "last")
+            fitted = stored(fitted.select(m, f"f_{m}", F.abs(F.col(f"f_{m}") / F.col("last") - 1).alias("moved")), "factors")
+            factors[m] = fitted.select(m, f"f_{m}")
+            if m in old:
+                drop_stored(spark, old[m])
+            old[m] = fitted
+        moved = old["source"].select("moved").unionByName(old["lang"].select("moved")).agg(F.max("moved")).first()[0]
+        if (moved or 0.0) <= tolerance:
+            break
+    for m in MARGINS:
+        cells = cells.join(factors[m], m)
+    factor = F.col("f_source") * F.col("f_lang") * F.col("f_topic")
+    return stored(cells.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, factor).otherwise(1.0).alias("factor")), "raked")
+
+
+def feasible_rate(cells: DataFrame, rate: float = RATE) -> float:
+    """The given rate, or less where the largest factor would ask for more documents than there are."""
+    most = cells.where("tokens > 0").agg(F.max("factor")).first()[0]
+    return min(rate, 1.0 / most) if most else rate
 
 
 def uniform(key: Column) -> Column:
@@ -85,23 +103,23 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def sampled(docs: DataFrame, topic: Column | None = None, rate: float = RATE, rounds: int = ROUNDS, bounded: bool = True) -> DataFrame:
-    """The sampled documents, with __n, __topic, __factor and __p beside their columns."""
+def sampled(docs: DataFrame, topic: Column | None = None, rate: float = RATE, rounds: int = ROUNDS) -> DataFrame:
+    """(doc, id, n, source, lang, topic, factor, p) of the sampled documents."""
     rows = keyed(docs, topic)
-    factors = raked(cells_of(rows), rounds, 1 / rate if bounded else None)
-    rows = rows.join(factors, [f"__{m}" for m in MARGINS]).withColumn("__p", F.least(F.lit(1.0), rate * F.col("__factor")))
-    return rows.where(uniform(F.col("doc_id")) < F.col("__p"))
+    cells = raked(cells_of(rows), rounds)
+    p = F.least(F.lit(1.0), F.lit(feasible_rate(cells, rate)) * F.col("factor"))
+    return rows.join(cells.drop("tokens"), MARGINS).withColumn("p", p).where(uniform(F.col("id")) < F.col("p"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents with the columns they came with."""
-    return sampled(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return sampled(docs).select("doc.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, topic, weight and probability of the sampled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return sampled(docs, bounded=False).select("doc_id", F.col("__n").alias("n_tokens"), F.col("__topic").alias("topic"), F.round("__factor", 6).alias("weight"), F.round("__p", 6).alias("probability"))
+    return sampled(docs).select(F.col("id").alias("doc_id"), F.col("n").alias("n_tokens"), "topic", F.round("factor", 6).alias("weight"), F.round("p", 6).alias("probability"))
 
 
 def _oracle() -> str:
@@ -117,11 +135,11 @@ def _oracle() -> str:
     for k in range(ROUNDS * 3):
         m = MARGINS[k % 3]
         steps.append(f"w{k + 1} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * to_{m} / sum(w) OVER (PARTITION BY {m}) ELSE w END AS w) FROM w{k})")
-    steps.append(f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS factor FROM w{ROUNDS * 3})")
+    steps.append(f"f AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS factor, least({RATE}, 1.0 / max(CASE WHEN tokens > 0 THEN w / tokens END) OVER ()) AS rate FROM w{ROUNDS * 3})")
     return "WITH " + ",\n".join(steps) + f"""
-SELECT doc_id, n AS n_tokens, topic, round(factor, 6) AS weight, round(least(1.0, {RATE} * factor), 6) AS probability
+SELECT doc_id, n AS n_tokens, topic, round(factor, 6) AS weight, round(least(1.0, rate * factor), 6) AS probability
 FROM docs JOIN f USING (source, lang, topic)
-WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, {RATE} * factor)"""
+WHERE CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < least(1.0, rate * factor)"""
 
 
 QUERIES = {"op5_mixing": op5_mixing}

@@ -164,23 +164,24 @@ def test_mixing(spark, corpus):
     key = lambda df: sorted(map(tuple, df[["doc_id", "n_tokens", "topic", "weight", "probability"]].values.tolist()))
     assert key(got) == key(want)
     factors = mixing.raked(mixing.cells_of(mixing.keyed(spark.read.parquet(f"{corpus}/documents.parquet")))).toPandas()
-    assert (factors["__factor"] >= 0).all()
+    assert (factors["factor"] >= 0).all()
 
 
-def test_mixing_hands_on_what_a_cell_cannot_give(spark):
+def test_mixing_meets_every_target(spark):
     size = {("a", "x"): 600, ("a", "y"): 60, ("b", "x"): 40, ("b", "y"): 20}
-    rows = [(f"{s}{l}{i}", "word " * 40, l, s) for (s, l), n in size.items() for i in range(n)]
-    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")
-    drawn = mixing.sampled(docs, topic=F.lit("t")).groupBy("source", "lang").agg(F.max("__p").alias("p")).collect()
+    rows = [(f"{s}{l}{i}", "word " * 40, l, s, 1) for (s, l), n in size.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n int")
+    drawn = mixing.sampled(docs, topic=F.lit("t")).groupBy("source", "lang").agg(F.max("p").alias("p")).collect()
     given = {(r["source"], r["lang"]): r["p"] * size[r["source"], r["lang"]] for r in drawn}
-    assert given[("b", "y")] == 20  # unbounded, its factor is 2.55 at a rate of a half
+    assert given[("b", "y")] == pytest.approx(20)  # its factor is the largest and sets the rate
     for k in (0, 1):
         held, got = Counter(), Counter()
         for cell in size:
             held[cell[k]] += size[cell]
             got[cell[k]] += given[cell]
         for m in held:
-            assert got[m] / sum(got.values()) == pytest.approx(held[m] ** 0.7 / sum(n**0.7 for n in held.values()), abs=0.002)
+            assert got[m] / sum(got.values()) == pytest.approx(held[m] ** 0.7 / sum(n**0.7 for n in held.values()), abs=1e-9)
+    assert mixing.stage(spark, docs, "").columns == docs.columns
 
 
 def test_decontamination(spark, corpus, documents):
