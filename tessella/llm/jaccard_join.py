@@ -1,18 +1,25 @@
 """Exact n-gram Jaccard self-join: rare-first prefix filtering with length, positional and suffix filters.
 
-A text's set is its distinct word 5-grams as 64-bit hashes.  Texts with equal sets are one node.  Elements are ordered
-rare first by a frequency sketch of fixed size, counted over all documents (any common order gives the same links; the
-sketch keeps frequent n-grams out of the prefixes).  Two linked sets share an element of their prefixes, so:
-
-1. Prefix entries meet by element in packed arrays.  An element frequent enough to burden one task is split by salt.
-   Each list of entries makes a star: candidates are (member, shortest member), never all pairs of a list.
-2. Each node is verified against its most frequent star centre; centres of a node in other components follow.
-3. What is left are lists whose members lie in different components: their pairs across components, after the length,
-   positional and suffix filter (parities of the elements by range of hash bound the symmetric difference), are
-   verified too.  Pairs within a component are never needed, so copies are not expanded, and no link is lost.
-
-Every pair is verified once, on whole sets (48 bits of each hash).  Null and word-free texts have empty sets and are
-their own component; texts under five words are one n-gram; repeated rows are equal sets; an empty table gives none.
+A text's set is its distinct word 5-grams, each by 48 bits of its hash.  Texts with equal sets are one node.  The corpus
+is cut into batches, written once as a table bucketed by batch that holds every set; only packed requests and answers
+cross the shuffle:
+
+1. Every batch asks for its distinct n-grams, by range of hash, and for its distinct sets by digest.  The answers are
+   how often each n-gram occurs and which node stands for equal sets.  The bits that a request spends on an n-gram
+   grow with the logarithm of the corpus; where two n-grams share them, both only look more frequent.
+2. Elements are ordered rare first.  N-grams of one document alone come before all others and can never be shared, so
+   only the rest of a prefix becomes entries: most documents have none.  Two linked sets meet at an entry.
+3. Each list of entries makes a star: candidates are (member, shortest member), never all pairs of a list.  In each
+   round a node is verified against its most frequent star centre in another component, and components are joined.
+4. What is left are lists whose members lie in different components: their pairs across components are verified too.
+   An entry knows the first elements of its node's prefix, so a pair is made at the first element that both share and
+   not at later ones.  Pairs within a component are never needed: copies are not expanded, and no link is lost.
+
+Candidates pass the length and the positional filter; before whole sets are compared, parities of the elements by
+range of hash bound the symmetric difference (the suffix filter).  Every pair is verified once, on whole sets.
+
+Null and word-free texts have empty sets and are their own component; texts under five words are one n-gram; repeated
+rows are equal sets; an empty table gives none.  Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -22,128 +29,226 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import textkit as tk
-from tessella.llm.bitmap import bitmap, may_hold
 from tessella.llm.lm_scoring import pack, unpack
 from tessella.operators.components import star_components
-from tessella.tables import bucketed, partitions, stored, table
+from tessella.tables import bucketed, partitions, stored, table, with_row_key
 
-CELLS = 1 << 22
-SLICES = 64
+U = np.uint64
+BATCH_BYTES = 8_000_000
+BITS = 48  # of an n-gram's hash
+INDEX = 24  # bits of a node's id that number it within its batch
+HEADS = 6  # elements of a node's prefix that its entries carry
 RANGES = 1024
-FLUSH = 400_000
+ROUNDS = 2  # of stars, before lists are searched
 
 
-def node_of(grams: np.ndarray) -> int:
-    """The id of a set: 64 bits of a cryptographic digest."""
-    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
-def cells(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - 22)).astype(np.int64)
+def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
+    """Elements of the prefix: n - ceil(t n / 100) + 1."""
+    return n - (n * t + 99) // 100 + 1
 
 
-def sketch(docs: DataFrame, n: int = 5) -> np.ndarray:
-    """Document frequency by cell of hash, in half steps of log2 (one byte a cell, 4 MB whatever the corpus)."""
-    size = CELLS // SLICES
+def batches_of(docs: DataFrame, n: int) -> DataFrame:
+    """The corpus as a table of batches, bucketed by batch: ids, each row's set as an index (-1: empty), and of every
+    distinct set its digest, size and sorted elements."""
+    id_type = dict(docs.dtypes)["doc_id"]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(CELLS, np.uint32)
-        for b in batches:
-            for _, grams in tk.shingles_of(b.column(0), n):
-                np.add.at(own, cells(grams), 1)
-        slices = [(i, own[i * size : (i + 1) * size]) for i in range(SLICES)]
-        slices = [(i, x) for i, x in slices if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in slices], pa.int32()), pa.array([pack(x) for _, x in slices], pa.binary())], ["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[i] = total.get(i, 0) + unpack(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.round(2 * np.log2(x + 1.0)).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], ["slice", "counts"])
-
-    schema = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(tk.freeing(count), schema).repartition(min(SLICES, partitions(docs.sparkSession)), "slice").mapInArrow(tk.freeing(add), schema).collect()
-    out = np.zeros(CELLS, np.uint8)
-    for r in parts:
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["counts"], np.uint8)
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k = TaskContext.get().partitionId(), 0
+        ids: list = []
+        index: list[int] = []
+        known: dict[bytes, int] = {}
+        sets: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal k
+            if part >> 22 or k >> 17:
+                raise ValueError("too many batches for their names")
+            name = (part << 17) | k
+            k += 1
+            sizes = np.array([len(x) for x in sets], np.int64)
+            steps = np.concatenate([np.diff(x, prepend=U(0)) for x in sets]) if sets else np.zeros(0, U)
+            cols = [pa.array([name], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([index], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (b"".join(known), pack(sizes), pack(steps))), pa.array([int(sizes.sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["batch", "ids", "index", "digests", "sizes", "elements", "total"])
+
+        for b in rows:
+            kind, numbers, done = b.column(0).type, b.column(0).to_pylist(), 0
+            for lo, hi, data, offs in tk.blocks(b.column(1)):
+                words, at = tk.word_hashes(data, offs)
+                for i in range(hi - lo):
+                    grams = np.unique(tk.ngrams(words[at[i] : at[i + 1]], n) >> U(64 - BITS))
+                    if not len(grams):
+                        index.append(-1)
+                        continue
+                    digest = hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+                    if digest not in known:
+                        known[digest] = len(sets)
+                        sets.append(grams)
+                    index.append(known[digest])
+                ids += numbers[lo:hi]
+                size += len(data) + 64 * (hi - lo)
+                if size >= BATCH_BYTES:
+                    yield flush()
+                    ids, index, known, sets, size = [], [], {}, [], 0
+        if ids:
+            yield flush()
+
+    out = docs.select("doc_id", "text").mapInArrow(tk.freeing(run), f"batch long, ids array<{id_type}>, index array<int>, digests binary, sizes binary, elements binary, total long")
+    return bucketed(out, "batch", "sets", "uncompressed")
+
+
+class Batch:
+    """A batch's nodes; everything can be made again from the table."""
+
+    def __init__(self, state: pa.Table):
+        row = {c: state.column(c)[0].as_py() for c in ("batch", "index", "digests", "sizes", "elements") if c in state.column_names}
+        self.name = row["batch"]
+        self.index = np.array(row.get("index", ()), np.int64)
+        self.sizes = unpack(row["sizes"]).astype(np.int64)
+        self.ids = (self.name << INDEX) + np.arange(len(self.sizes))
+        self.digests = np.frombuffer(row["digests"], "S16") if "digests" in row else None
+        if "elements" in row:
+            steps = unpack(row["elements"])
+            starts = np.cumsum(self.sizes) - self.sizes
+            total = np.cumsum(steps, dtype=U)
+            self.starts = starts
+            self.grams = total - np.repeat(total[starts] - steps[starts], self.sizes) if len(starts) else steps
+
+    def keys(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct requests for n-grams, which of them each element is, and how often each occurs."""
+        return np.unique(self.grams >> U(BITS - bits), return_inverse=True, return_counts=True)
+
+    def set_of(self, i: int) -> np.ndarray:
+        return self.grams[self.starts[i] : self.starts[i] + self.sizes[i]]
+
+
+def _ranges(keys: np.ndarray, bits: int, shares: int) -> list[tuple[int, int, int]]:
+    """(share, from, to) of sorted keys, by range."""
+    cuts = np.searchsorted(keys, np.array([(i << bits) // shares for i in range(1, shares)], U))
+    cuts = [0, *cuts.tolist(), len(keys)]
+    return [(i, lo, hi) for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+
+
+def _by_digest(digests: np.ndarray, shares: int) -> list[tuple[int, np.ndarray]]:
+    """(share, places) of digests."""
+    raw = np.frombuffer(digests.tobytes(), U).reshape(-1, 2)[:, 0]
+    share = (raw % U(shares)).astype(np.int64)
+    order = np.argsort(share, kind="stable")
+    return [(int(share[at[0]]), at) for at in np.split(order, np.flatnonzero(np.diff(share[order])) + 1) if len(at)]
+
+
+REQUEST = "share int, batch long, kind int, keys binary, counts binary"
+ANSWER = "batch long, kind int, share int, answer binary"
+
+
+def _requests(batches: DataFrame, bits: int, shares: int) -> DataFrame:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(b.num_rows):
+                batch = Batch(pa.Table.from_batches([b.slice(i, 1)]))
+                keys, _, counts = batch.keys(bits)
+                out = [(s, batch.name, 1, pack(np.diff(keys[lo:hi], prepend=U(0))), pack(counts[lo:hi])) for s, lo, hi in _ranges(keys, bits, shares)]
+                out += [(s, batch.name, 0, batch.digests[at].tobytes(), batch.ids[at].tobytes()) for s, at in _by_digest(batch.digests, shares)]
+                cols = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["share", "batch", "kind", "keys", "counts"])
+
+    return batches.select("batch", "digests", "sizes", "elements").mapInArrow(tk.freeing(run), REQUEST)
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """Of one share: the node for each digest, and for each n-gram its frequency in half steps of log2, 0 for one."""
+    rows = group.to_pylist()
+    out = []
+    for kind in (0, 1):
+        own = [r for r in rows if r["kind"] == kind]
+        if not own:
+            continue
+        if kind:
+            keys = [np.cumsum(unpack(r["keys"]), dtype=U) for r in own]
+        else:
+            keys = [np.frombuffer(r["keys"], "S16") for r in own]
+        cuts = np.cumsum([0, *map(len, keys)])
+        flat, where = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        if kind:
+            times = np.bincount(where, np.concatenate([unpack(r["counts"]) for r in own]).astype(np.float64), len(flat))
+            value = np.where(times > 1, np.round(2 * np.log2(np.maximum(times, 1))), 0).astype(np.uint64)
+        else:
+            nodes = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in own])
+            least = np.full(len(flat), np.iinfo(np.int64).max)
+            np.minimum.at(least, where, nodes)
+            value = least.astype(np.uint64)
+        out += [(r["batch"], kind, r["share"], pack(value[where[lo:hi]])) for r, lo, hi in zip(own, cuts[:-1], cuts[1:], strict=True)]
+    cols = zip(*out, strict=True)
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["batch", "kind", "share", "answer"])
+
+
+def _node_of(batch: Batch, found: pa.Table, shares: int) -> np.ndarray:
+    """The node that stands for each of the batch's sets."""
+    answers = {r["share"]: r["answer"] for r in found.to_pylist() if r["kind"] == 0}
+    out = np.zeros(len(batch.ids), np.int64)
+    for s, at in _by_digest(batch.digests, shares):
+        out[at] = unpack(answers[s]).astype(np.int64)
     return out
 
 
-def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
-    """Elements of the prefix: n - ceil(t n / 100) + 1."""
-    return n - (n * t + 99) // 100 + 1
-
-
-def _entries(docs: DataFrame, levels: np.ndarray, shares: int, t: int, n: int) -> DataFrame:
-    """(share, elements, nodes, sizes, positions, salted): prefix entries of runs of documents, by share of element."""
-    total = float((2.0 ** (levels / 2.0) - 1).sum())
-    hot = 2 * np.log2(max(4096.0, total / (4 * shares)))  # a quarter of what a share holds
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
-        seen: set[int] = set()
-        names = ["share", "elements", "nodes", "sizes", "positions", "salted"]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            grams, nodes, sizes, positions = (np.concatenate(x) for x in held)
-            salted = levels[cells(grams)] > hot
-            key = tk.mix(grams ^ np.where(salted, tk.mix(nodes), np.uint64(0)))
-            share = (key % np.uint64(shares)).astype(np.int64)
-            order = np.lexsort((grams, salted, share))
-            for at in np.split(order, np.flatnonzero(np.diff(share[order]) | np.diff(salted[order])) + 1):
-                names_, where = np.unique(nodes[at], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([share[at[0]]], pa.int32()), pa.array([pack(np.diff(grams[at], prepend=np.uint64(0)))], pa.binary()), pa.array([names_.tobytes() + pack(where)], pa.binary()), pa.array([pack(sizes[at])], pa.binary()), pa.array([pack(positions[at])], pa.binary()), pa.array([len(names_) if not salted[at[0]] else -len(names_)], pa.int32())], names)
-            for x in held:
-                x.clear()
-            seen.clear()
-
-        total = 0
-        for b in batches:
-            for _, grams in tk.shingles_of(b.column(0), n):
-                if not len(grams) or (node := node_of(grams)) in seen:
-                    continue
-                seen.add(node)
-                first = grams[np.lexsort((grams, levels[cells(grams)]))[: prefix_length(len(grams), t)]]
-                for x, y in zip(held, (first, np.full(len(first), node, np.int64).view(np.uint64), np.full(len(first), len(grams), np.uint64), np.arange(len(first), dtype=np.uint64)), strict=True):
-                    x.append(y)
-                total += len(first)
-                if total >= FLUSH:
-                    yield from flush()
-                    total = 0
-        if total:
-            yield from flush()
-
-    return docs.select("text").mapInArrow(tk.freeing(run), "share int, elements binary, nodes binary, sizes binary, positions binary, salted int")
-
-
-def _lists(entries: DataFrame, t: int) -> DataFrame:
-    """Entries of lists with two nodes at least: element, node, size, position, centre, centre_size, centre_position, salted."""
-
-    def run(group: pa.Table) -> pa.Table:
-        parts = []
-        for r in group.to_pylist():
-            k = abs(r["salted"])
-            names = np.frombuffer(r["nodes"][: 8 * k], np.uint64)
-            grams = np.cumsum(unpack(r["elements"]), dtype=np.uint64)
-            parts.append((grams, names[unpack(r["nodes"][8 * k :]).astype(np.int64)], unpack(r["sizes"]), unpack(r["positions"]), np.full(len(grams), r["salted"] < 0)))
-        grams, nodes, sizes, positions, salted = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((nodes, sizes, grams))
-        grams, nodes, sizes, positions, salted = (x[order] for x in (grams, nodes, sizes, positions, salted))
-        again = np.concatenate([[False], (grams[1:] == grams[:-1]) & (nodes[1:] == nodes[:-1])])
-        grams, nodes, sizes, positions, salted = (x[~again] for x in (grams, nodes, sizes, positions, salted))
-        starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-        length = np.diff(np.append(starts, len(grams)))
-        centre = np.repeat(starts, length)
-        keep = (np.repeat(length, length) > 1) | salted
-        cols = [grams, nodes, sizes, positions, nodes[centre], sizes[centre], positions[centre]]
-        return pa.table([pa.array(x[keep].view(np.int64)) for x in cols] + [pa.array(salted[keep])], names=["element", "node", "size", "position", "centre", "centre_size", "centre_position", "salted"])
-
-    return entries.groupBy("share").applyInArrow(tk.freeing_group(run), "element long, node long, size long, position long, centre long, centre_size long, centre_position long, salted boolean")
+def _members(batches: DataFrame, answers: DataFrame, shares: int) -> DataFrame:
+    """doc_id, n_shingles and node of every row."""
+    id_type = dict(batches.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        batch = Batch(state)
+        node = _node_of(batch, found, shares)
+        none = pa.array(batch.index < 0)
+        at = np.maximum(batch.index, 0)
+        sizes, nodes = (x[at] if len(x) else np.zeros(len(at), np.int64) for x in (batch.sizes, node))
+        return pa.table({"doc_id": state.column("ids")[0].values, "n_shingles": pa.array(np.where(batch.index < 0, 0, sizes)), "node": pa.array(nodes, mask=none.to_numpy(zero_copy_only=False))})
+
+    sides = batches.select("batch", "ids", "index", "digests", "sizes").groupBy("batch").cogroup(answers.where("kind = 0").groupBy("batch"))
+    return sides.applyInArrow(tk.freeing_cogroup(run), f"doc_id {id_type}, n_shingles long, node long")
+
+
+def _entries(batches: DataFrame, answers: DataFrame, bits: int, shares: int, t: int) -> DataFrame:
+    """element, node, size, position and heads: the shared elements of each node's prefix, and before each the first
+    few of them."""
+
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        batch = Batch(state)
+        mine = _node_of(batch, found, shares) == batch.ids
+        keys, where, _ = batch.keys(bits)
+        level = np.zeros(len(keys), np.uint8)
+        spans = {s: (lo, hi) for s, lo, hi in _ranges(keys, bits, shares)}
+        for r in found.to_pylist():
+            if r["kind"] == 1:
+                lo, hi = spans[r["share"]]
+                level[lo:hi] = unpack(r["answer"])
+        level = level[where]
+        owner = np.repeat(np.arange(len(batch.sizes)), batch.sizes)
+        shared = np.flatnonzero((level > 0) & mine[owner])
+        alone = batch.sizes - np.bincount(owner, level > 0, len(batch.sizes)).astype(np.int64)
+        owner, grams, level = owner[shared], batch.grams[shared], level[shared]
+        order = np.lexsort((grams, level, owner))
+        owner, grams = owner[order], grams[order]
+        first = np.searchsorted(owner, np.arange(len(batch.sizes)))
+        rank = np.arange(len(owner)) - first[owner]
+        position = alone[owner] + rank
+        keep = np.flatnonzero(position < prefix_length(batch.sizes, t)[owner])
+        owner, grams, rank, position = owner[keep], grams[keep], rank[keep], position[keep]
+        many = np.minimum(rank, HEADS)
+        begin = np.searchsorted(owner, owner)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        heads = grams[np.repeat(begin, many) + step] if len(owner) else grams
+        offs = np.concatenate([[0], np.cumsum(many)])
+        heads = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(heads.view(np.int64)))
+        return pa.table({"element": pa.array(grams.view(np.int64)), "node": pa.array(batch.ids[owner]), "size": pa.array(batch.sizes[owner]), "position": pa.array(position), "heads": heads})
+
+    sides = batches.select("batch", "digests", "sizes", "elements").groupBy("batch").cogroup(answers.groupBy("batch"))
+    return sides.applyInArrow(tk.freeing_cogroup(run), "element long, node long, size long, position long, heads array<long>")
 
 
 def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int) -> F.Column:
@@ -157,35 +262,24 @@ def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int)
     return (100 * F.least(a, b) >= t * F.greatest(a, b)) & ((100 + t) * most >= t * (a + b))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """node, packed set and range parities of the wanted nodes, bucketed by node.  A bitmap of fixed size keeps most
-    other sets from the shuffle; a semi-join drops the rest."""
-    known = bitmap(wanted.select("node"))
+def _sets(batches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, size, packed set and range parities of the wanted nodes, bucketed by node; a node's id names its batch."""
+    asked = wanted.select(F.shiftright("node", INDEX).alias("batch"), "node").groupBy("batch").agg(F.collect_list("node").alias("nodes"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out, seen = [], set()
-            for _, grams in tk.shingles_of(b.column(0), n):
-                if not len(grams):
-                    continue
-                node = node_of(grams)
-                if node in seen or not may_hold(known, node):
-                    continue
-                seen.add(node)
-                short = np.unique(grams >> np.uint64(16))
-                parity = np.packbits(np.bincount((grams % np.uint64(RANGES)).astype(np.int64), minlength=RANGES) & 1)
-                out.append((node, len(grams), pack(np.diff(short, prepend=np.uint64(0))), parity.tobytes()))
-                if len(out) >= 1000:
-                    yield _batch(out)
-                    out = []
-            yield _batch(out)
-
-    def _batch(out: list) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "size", "elements", "parity"])
-
-    found = docs.select("text").mapInArrow(tk.freeing(run), "node long, size long, elements binary, parity binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    return bucketed(found, "node", "sets")
+    def run(state: pa.Table, found: pa.Table) -> pa.Table:
+        names = ["node", "size", "elements", "parity"]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        if not found.num_rows or not state.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        batch, out = Batch(state), []
+        for node in found.column("nodes")[0].as_py():
+            own = batch.set_of(node - (batch.name << INDEX))
+            parity = np.packbits(np.bincount((own % U(RANGES)).astype(np.int64), minlength=RANGES) & 1)
+            out.append((node, len(own), pack(np.diff(own, prepend=U(0))), parity.tobytes()))
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    sides = batches.select("batch", "sizes", "elements").groupBy("batch").cogroup(asked.groupBy("batch"))
+    return bucketed(sides.applyInArrow(tk.freeing_cogroup(run), "node long, size long, elements binary, parity binary"), "node", "wanted", "uncompressed")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -211,8 +305,8 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
             for raw_a, raw_b, na, nb in zip(*(b.column(c) for c in ("elements_a", "elements_b", "size_a", "size_b")), strict=True):
                 raw = raw_a.as_py()
                 if raw != last:
-                    last, left = raw, np.cumsum(unpack(raw), dtype=np.uint64)
-                both = len(np.intersect1d(left, np.cumsum(unpack(raw_b.as_py()), dtype=np.uint64), assume_unique=True))
+                    last, left = raw, np.cumsum(unpack(raw), dtype=U)
+                both = len(np.intersect1d(left, np.cumsum(unpack(raw_b.as_py()), dtype=U), assume_unique=True))
                 ok.append(100 * both >= t * (na.as_py() + nb.as_py() - both))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
@@ -221,68 +315,80 @@ def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return full.select("a", "b", "elements_a", "elements_b", "size_a", "size_b").mapInArrow(tk.freeing(exact), "a long, b long")
 
 
+def _labelled(links: DataFrame) -> DataFrame:
+    """id and component of every linked node."""
+    return stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
+
+
+def _placed(rows: DataFrame, label: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with of_<name>, the component of each named node."""
+    for x in names:
+        rows = rows.join(label.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
+    return rows
+
+
+def _across(entries: DataFrame, label: DataFrame, t: int) -> DataFrame:
+    """The distinct candidates (a, b) of lists whose members lie in different components, across components."""
+    entries = _placed(entries, label, "node")
+    sizes = entries.groupBy("element", "of_node").agg(F.count(F.lit(1)).alias("k"))
+    mixed = sizes.groupBy("element").agg(F.count(F.lit(1)).alias("parts"), F.max_by("of_node", F.struct("k", "of_node")).alias("main")).where("parts > 1").select("element", "main")
+    entries = stored(entries.join(mixed, "element"), "mixed")
+    # Every pair across components has a member outside the list's main one.
+    other = entries.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "heads", "of_node")))
+    once = (F.col("other_of_node") == F.col("main")) | (F.col("of_node") < F.col("other_of_node"))
+    pairs = entries.where("of_node <> main").join(other, "element").where((F.col("of_node") != F.col("other_of_node")) & once & may_link("size", "position", "other_size", "other_position", t) & ~F.arrays_overlap("heads", "other_heads"))
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+
+
 def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    id_type = dict(docs.dtypes)["doc_id"]
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(len(g), node_of(g) if len(g) else None) for _, g in tk.shingles_of(b.column(1), n)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    members = stored(docs.mapInArrow(tk.freeing(nodes), f"doc_id {id_type}, n_shingles long, node long"), "members")
-    shares = 4 * partitions(spark)
-    lists = stored(_lists(_entries(docs, sketch(docs, n), shares, t, n), t), "lists")
-    # Stars: within each list, and between the centres of a salted list's parts.
-    stars = lists.where("node <> centre").where(may_link("size", "position", "centre_size", "centre_position", t)).groupBy(F.col("node").alias("b"), F.col("centre").alias("a")).agg(F.count(F.lit(1)).alias("times"))
-    parts = lists.where("salted and node = centre").select("element", F.struct("size", "node", "position").alias("c"))
-    heads = parts.groupBy("element").agg(F.min("c").alias("h"))
-    across = parts.join(heads, "element").where("c.node <> h.node").select("c", "h").where(may_link("c.size", "c.position", "h.size", "h.position", t)).select(F.col("c.node").alias("b"), F.col("h.node").alias("a")).distinct().select("b", "a", F.lit(1).cast("long").alias("times"))
-    stars = stored(stars.unionByName(across).groupBy("a", "b").agg(F.sum("times").alias("times")), "stars")
-    wanted = stored(lists.select("node").distinct(), "wanted")
-    sets = _sets(docs, wanted, n)
+    shares = partitions(spark)
+    batches = batches_of(docs, n)
+    total = batches.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
+    bits = min(BITS, max(24, int(total).bit_length() + 8))
+    requests = _requests(batches, bits, shares).repartition(shares, "share")
+    answers = stored(requests.groupBy("share").applyInArrow(tk.freeing_group(_answer), ANSWER), "answers", "none")
+    members = stored(_members(batches, answers, shares), "members")
+    entries = stored(_entries(batches, answers, bits, shares, t), "entries")
+    # The shortest member of every list with two members at least.
+    centres = entries.groupBy("element").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("size", "node", "position")).alias("c")).where("k > 1")
+    lists = stored(entries.join(centres, "element"), "lists")
+    stars = lists.where("node <> c.node").where(may_link("size", "position", "c.size", "c.position", t)).groupBy(F.col("node").alias("b"), F.col("c.node").alias("a")).agg(F.count(F.lit(1)).alias("times"))
+    stars = stored(stars, "stars")
+    sets = _sets(batches, lists.select("node").distinct())
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = stored(stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b").select(*ordered).distinct(), "first")
-    links = stored(verified(first, sets, t), "links")
-
-    def placed(rows: DataFrame, label: DataFrame, *names: str) -> DataFrame:
-        for x in names:
-            rows = rows.join(label.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}")), x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
-        return rows
-
-    label = stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
-    more = placed(stars.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"), label, "a", "b").where("of_a <> of_b").select("a", "b")
-    more = stored(more, "more")
-    if not more.isEmpty():
-        links = links.unionByName(stored(verified(more, sets, t), "links"))
-        label = stored(star_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "label")
-    # Lists whose members are in different components still.
-    entries = placed(lists.select("element", "node", "size", "position"), label, "node")
-    mixed = entries.groupBy("element").agg(F.min("of_node").alias("lo"), F.max("of_node").alias("hi")).where("lo <> hi").select("element")
-    entries = stored(entries.join(mixed, "element", "left_semi"), "mixed")
-    if not entries.isEmpty():
-        other = entries.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "of_node")))
-        rest = entries.join(other, (entries["element"] == other["element"]) & (F.col("of_node") < F.col("other_of_node")) & may_link("size", "position", "other_size", "other_position", t))
-        rest = rest.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct().join(first.unionByName(more), ["a", "b"], "left_anti")
-        links = links.unionByName(stored(verified(rest, sets, t), "links"))
-    # Components of smallest ids, then every row's own.
-    owner = stored(members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner")), "owner")
-    as_u, as_v = (owner.select(F.col("node").alias(c), F.col("owner").alias(d)) for c, d in (("a", "u"), ("b", "v")))
-    label = stored(star_components(links.join(as_u, "a").join(as_v, "b").select("u", "v")), "label")
-    owner = owner.join(label, F.col("owner") == F.col("id"), "left").select("node", F.coalesce("component", "owner").alias("component_id"))
+    links = tried = label = None
+    for _ in range(ROUNDS):
+        left = stars if label is None else _placed(stars, label, "a", "b").where("of_a <> of_b")
+        if tried is not None:
+            left = left.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+        best = left.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b").select(*ordered).distinct()
+        best = stored(best, "best")
+        found = stored(verified(best, sets, t), "links")
+        tried, links = (best, found) if tried is None else (tried.unionByName(best), links.unionByName(found))
+        label = _labelled(links)
+    rest = stored(_across(lists.select("element", "node", "size", "position", "heads"), label, t).join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        label = _labelled(links.unionByName(stored(verified(rest, sets, t), "links")))
+    # Components of smallest document ids.
+    owner = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"))
+    owner = stored(_placed(owner, label, "node"), "owner")
+    least = owner.groupBy("of_node").agg(F.min("owner").alias("component_id"))
+    owner = owner.join(least, "of_node").select("node", "component_id")
     return members.join(owner, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one of smallest id (one row of it if rows repeat); those without an id stay."""
-    found = stored(components(docs), "components")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One row of each component, the one of smallest id (rows without an id last, then the first written); rows that
+    share an id but not a text each stand for their own text."""
+    rows = with_row_key(docs, "jaccard_rows")
+    found = stored(components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id"), "components")
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component_id")
+    inside = found.join(several, "component_id").join(rows.select("__row", "doc_id"), "__row")
+    kept = inside.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))
+    gone = inside.join(kept, "__row", "left_anti").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,6 +370,35 @@ def test_jaccard_join_chains(spark):
     assert {r[0]: (r[1], r[2]) for r in out.itertuples(index=False)} == components(rows)
 
 
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    """Copies around the threshold: some linked, some not, many through others only; a passage that all share."""
+    import random
+
+    from tests.llm.conftest import COLUMNS
+
+    rng = random.Random(11)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.randint(1, 8)):
+            text[rng.randrange(120)] = f"n{rng.randrange(40)}"
+        rows.append((i, " ".join(text), None, None, 0, 0, "", ""))
+    rows += [(200 + i, " ".join(base[:40] + [f"own{i}x{k}" for k in range(30)]), None, None, 0, 0, "", "") for i in range(30)]
+    rows += [(300 + i, " ".join(base[:40] + [f"own{i // 2}y{k}" for k in range(8 + i % 2)]), None, None, 0, 0, "", "") for i in range(30)]
+    want = components(rows)
+    assert len({c for _, c in want.values()}) > 40
+    out = jaccard_join.components(spark.createDataFrame(rows, COLUMNS).repartition(5)).toPandas()
+    assert {r[0]: (r[1], r[2]) for r in out.itertuples(index=False)} == want
+
+
+def test_jaccard_stage_keeps_unlike_texts_of_one_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abc"]
+    rows = [(5, texts[0]), (5, texts[1]), (6, texts[2]), (None, texts[2]), (None, texts[0] + " more"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.stage(spark, docs, "").collect())
+    assert got == Counter([rows[0], rows[1], rows[2], rows[5], rows[6]])
+
+
 def test_pipeline(spark, corpus, documents):
     docs = spark.read.parquet(f"{corpus}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
