@@ -9,14 +9,15 @@ cross the shuffle:
    grow with the logarithm of the corpus; where two n-grams share them, both only look more frequent.
 2. Elements are ordered rare first.  N-grams of one document alone come before all others and can never be shared, so
    only the rest of a prefix becomes entries: most documents have none.  Two linked sets meet at an entry.
-3. Each list of entries makes a star: candidates are (member, shortest member), never all pairs of a list.  In each
-   round a node is verified against its most frequent star centre in another component, and components are joined.
+3. Each list of entries makes a star: candidates are (member, centre), never all pairs of a list.  In each round a
+   list's centre is another member of the component that holds most of it, every node outside is verified against the
+   centre of most of its lists, and components are joined.
 4. What is left are lists whose members lie in different components: their pairs across components are verified too.
    An entry knows the first elements of its node's prefix, so a pair is made at the first element that both share and
    not at later ones.  Pairs within a component are never needed: copies are not expanded, and no link is lost.
 
-Candidates pass the length and the positional filter; before whole sets are compared, parities of the elements by
-range of hash bound the symmetric difference (the suffix filter).  Every pair is verified once, on whole sets.
+Candidates pass the length and the positional filter, and parities of the elements by range of hash bound the symmetric
+difference (the suffix filter).  Every pair is verified once, on whole sets.
 
 Null and word-free texts have empty sets and are their own component; texts under five words are one n-gram; repeated
 rows are equal sets; an empty table gives none.  Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +38,16 @@ from pyspark.sql import functions as F
 from tessella.llm import textkit as tk
 from tessella.llm.lm_scoring import pack, unpack
 from tessella.operators.components import star_components
-from tessella.tables import bucketed, partitions, stored, table, with_row_key
+from tessella.tables import bucketed, drop_stored, partitions, stored, table, with_row_key
 
 U = np.uint64
 BATCH_BYTES = 8_000_000
 BITS = 48  # of an n-gram's hash
 INDEX = 24  # bits of a node's id that number it within its batch
 HEADS = 6  # elements of a node's prefix that its entries carry
-RANGES = 1024
-ROUNDS = 2  # of stars, before lists are searched
+RANGES = 512  # of hash, whose parities stand for a set
+PARITY = [f"p{i}" for i in range(RANGES // 64)]
+ROUNDS = 3  # of stars, before what is left of the lists is searched
 
 
 def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
@@ -265,54 +268,49 @@ def may_link(size_a: str, position_a: str, size_b: str, position_b: str, t: int)
 def _sets(batches: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, size, packed set and range parities of the wanted nodes, bucketed by node; a node's id names its batch."""
     asked = wanted.select(F.shiftright("node", INDEX).alias("batch"), "node").groupBy("batch").agg(F.collect_list("node").alias("nodes"))
+    names = ["node", "size", "elements", *PARITY]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), *(pa.int64() for _ in PARITY))
 
     def run(state: pa.Table, found: pa.Table) -> pa.Table:
-        names = ["node", "size", "elements", "parity"]
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         if not found.num_rows or not state.num_rows:
             return pa.table([pa.array([], k) for k in kinds], names=names)
         batch, out = Batch(state), []
         for node in found.column("nodes")[0].as_py():
             own = batch.set_of(node - (batch.name << INDEX))
-            parity = np.packbits(np.bincount((own % U(RANGES)).astype(np.int64), minlength=RANGES) & 1)
-            out.append((node, len(own), pack(np.diff(own, prepend=U(0))), parity.tobytes()))
+            odd = np.bincount((own % U(RANGES)).astype(np.int64), minlength=RANGES) & 1
+            out.append((node, len(own), pack(np.diff(own, prepend=U(0))), *np.packbits(odd).view(np.int64).tolist()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     sides = batches.select("batch", "sizes", "elements").groupBy("batch").cogroup(asked.groupBy("batch"))
-    return bucketed(sides.applyInArrow(tk.freeing_cogroup(run), "node long, size long, elements binary, parity binary"), "node", "wanted", "uncompressed")
+    return bucketed(sides.applyInArrow(tk.freeing_cogroup(run), "node long, size long, elements binary, " + ", ".join(f"{x} long" for x in PARITY)), "node", "wanted", "uncompressed")
+
+
+def may_agree(size_a: str, size_b: str, other: str, t: int) -> F.Column:
+    """Suffix filter: ranges of different parity each hold an element of the symmetric difference."""
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{other}{x}"))) for x in PARITY))
+    both = F.col(size_a) + F.col(size_b)
+    return (100 + t) * F.floor((both - apart) / 2) >= t * both
 
 
 def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("elements").alias(f"elements_{c}"), F.col("parity").alias(f"parity_{c}"))
-    slim = lambda c: side(c).drop(f"elements_{c}")
-    near = pairs.join(slim("a"), "a").join(slim("b"), "b")
-    # Suffix filter: ranges of different parity each hold an element of the symmetric difference.
-
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a, z = b.column("size_a").to_numpy(), b.column("size_b").to_numpy()
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(b.num_rows, -1) for c in ("parity_a", "parity_b"))
-            apart = np.bitwise_count(x ^ y).sum(1).astype(np.int64)
-            ok = (100 + t) * ((a + z - apart) // 2) >= t * (a + z)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("a", "b")], ["a", "b"])
+    slim = sets.select("node", "size", *PARITY)
+    near = pairs.join(slim.withColumnRenamed("node", "a"), "a").join(slim.select(F.col("node").alias("b"), *(F.col(c).alias(f"other_{c}") for c in ("size", *PARITY))), "b")
+    near = stored(near.where(may_agree("size", "other_size", "other_", t)).select("a", "b"), "near")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, last, left = [], None, None
-            for raw_a, raw_b, na, nb in zip(*(b.column(c) for c in ("elements_a", "elements_b", "size_a", "size_b")), strict=True):
-                raw = raw_a.as_py()
-                if raw != last:
-                    last, left = raw, np.cumsum(unpack(raw), dtype=U)
-                both = len(np.intersect1d(left, np.cumsum(unpack(raw_b.as_py()), dtype=U), assume_unique=True))
-                ok.append(100 * both >= t * (na.as_py() + nb.as_py() - both))
+            ok = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = (np.cumsum(unpack(z.as_py()), dtype=U) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= t * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
-    near = near.mapInArrow(tk.freeing(suffix), "a long, b long")
-    full = near.join(side("a").drop("parity_a"), "a").join(side("b").drop("parity_b"), "b")
-    return full.select("a", "b", "elements_a", "elements_b", "size_a", "size_b").mapInArrow(tk.freeing(exact), "a long, b long")
+    # Both sets of a pair come from one reading of the table.
+    sides = near.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(sets.select("node", "elements"), "node")
+    full = sides.groupBy("a", "b").agg(F.min_by("elements", "node").alias("x"), F.max_by("elements", "node").alias("y"))
+    return full.mapInArrow(tk.freeing(exact), "a long, b long")
 
 
 def _labelled(links: DataFrame) -> DataFrame:
@@ -327,16 +325,34 @@ def _placed(rows: DataFrame, label: DataFrame, *names: str) -> DataFrame:
     return rows
 
 
-def _across(entries: DataFrame, label: DataFrame, t: int) -> DataFrame:
-    """The distinct candidates (a, b) of lists whose members lie in different components, across components."""
-    entries = _placed(entries, label, "node")
+def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """The lists whose members lie in different components: each entry with ``of_node``, its component, and ``main``,
+    the component of most of the list."""
+    entries = _placed(lists.drop("of_node", "main"), label, "node")
     sizes = entries.groupBy("element", "of_node").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("element").agg(F.count(F.lit(1)).alias("parts"), F.max_by("of_node", F.struct("k", "of_node")).alias("main")).where("parts > 1").select("element", "main")
-    entries = stored(entries.join(mixed, "element"), "mixed")
-    # Every pair across components has a member outside the list's main one.
-    other = entries.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "heads", "of_node")))
+    main = sizes.groupBy("element").agg(F.count(F.lit(1)).alias("parts"), F.max_by("of_node", F.struct("k", "of_node")).alias("main")).where("parts > 1").select("element", "main")
+    return stored(entries.join(main, "element"), "mixed")
+
+
+def _stars(lists: DataFrame, tried: DataFrame | None, t: int, k: int) -> DataFrame:
+    """One new candidate (a, b) of each node outside its lists' main component: a member of the main component that
+    stands for a list in this round ``k``, and for most of the node's lists."""
+    centres = lists.where("of_node = main").groupBy("element").agg(F.min_by(F.struct("node", "size"), F.struct(F.xxhash64("node", F.lit(k)), "node")).alias("c"))
+    near = (F.col("of_node") != F.col("main")) & (100 * F.least("size", "c.size") >= t * F.greatest("size", "c.size"))
+    stars = lists.join(centres, "element").where(near).groupBy(F.col("node").alias("x"), F.col("c.node").alias("y")).agg(F.count(F.lit(1)).alias("times"))
+    stars = stars.select("x", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "times")
+    if tried is not None:
+        stars = stars.join(tried, ["a", "b"], "left_anti")
+    return stars.groupBy("x").agg(F.max(F.struct("times", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+
+
+def _across(lists: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The distinct candidates (a, b) of mixed lists, across components: each has a member outside the main one."""
+    lists = lists.join(sets.select("node", *PARITY), "node")
+    other = lists.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "heads", "of_node", *PARITY)))
     once = (F.col("other_of_node") == F.col("main")) | (F.col("of_node") < F.col("other_of_node"))
-    pairs = entries.where("of_node <> main").join(other, "element").where((F.col("of_node") != F.col("other_of_node")) & once & may_link("size", "position", "other_size", "other_position", t) & ~F.arrays_overlap("heads", "other_heads"))
+    first = may_link("size", "position", "other_size", "other_position", t) & ~F.arrays_overlap("heads", "other_heads")
+    pairs = lists.where("of_node <> main").join(other, "element").where((F.col("of_node") != F.col("other_of_node")) & once & first & may_agree("size", "other_size", "other_", t))
     return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
 
 
@@ -351,26 +367,25 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     answers = stored(requests.groupBy("share").applyInArrow(tk.freeing_group(_answer), ANSWER), "answers", "none")
     members = stored(_members(batches, answers, shares), "members")
     entries = stored(_entries(batches, answers, bits, shares, t), "entries")
-    # The shortest member of every list with two members at least.
-    centres = entries.groupBy("element").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("size", "node", "position")).alias("c")).where("k > 1")
-    lists = stored(entries.join(centres, "element"), "lists")
-    stars = lists.where("node <> c.node").where(may_link("size", "position", "c.size", "c.position", t)).groupBy(F.col("node").alias("b"), F.col("c.node").alias("a")).agg(F.count(F.lit(1)).alias("times"))
-    stars = stored(stars, "stars")
+    label = spark.createDataFrame([], "id long, component long")
+    lists = _mixed(entries, label)  # of two members at least
+    drop_stored(spark, entries)
     sets = _sets(batches, lists.select("node").distinct())
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    links = tried = label = None
-    for _ in range(ROUNDS):
-        left = stars if label is None else _placed(stars, label, "a", "b").where("of_a <> of_b")
-        if tried is not None:
-            left = left.join(tried.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        best = left.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b").select(*ordered).distinct()
-        best = stored(best, "best")
-        found = stored(verified(best, sets, t), "links")
-        tried, links = (best, found) if tried is None else (tried.unionByName(best), links.unionByName(found))
-        label = _labelled(links)
-    rest = stored(_across(lists.select("element", "node", "size", "position", "heads"), label, t).join(tried, ["a", "b"], "left_anti"), "rest")
+    links, tried = [], None
+    for k in range(ROUNDS):
+        best = stored(_stars(lists, tried, t, k), "best")
+        if best.isEmpty():
+            break
+        tried = best if tried is None else tried.unionByName(best)
+        links.append(stored(verified(best, sets, t), "links"))
+        label = _labelled(reduce(DataFrame.unionByName, links))
+        last, lists = lists, _mixed(lists, label)
+        drop_stored(spark, last)
+    rest = _across(lists, sets, t)
+    rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        label = _labelled(links.unionByName(stored(verified(rest, sets, t), "links")))
+        links.append(stored(verified(rest, sets, t), "links"))
+        label = _labelled(reduce(DataFrame.unionByName, links))
     # Components of smallest document ids.
     owner = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"))
     owner = stored(_placed(owner, label, "node"), "owner")
