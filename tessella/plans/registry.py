@@ -49,7 +49,7 @@ def _betweenness(depth: int = 8) -> str:
     return ", ".join(steps) + " " + union
 
 
-def _mis(rounds: int = 16) -> str:
+def _mis(rounds: int = 24) -> str:
     steps = [f"{CD}{_BOTH}, f0 AS MATERIALIZED (SELECT id, 1 AS st FROM v)"]
     for k in range(rounds):
         steps.append(f"i{k} AS MATERIALIZED (SELECT id FROM f{k} f WHERE st = 1 AND NOT EXISTS (SELECT 1 FROM u JOIN f{k} g ON g.id = u.dst WHERE u.src = f.id AND u.dst < u.src AND g.st = 1))")

@@ -18,7 +18,7 @@ SQL = {
     ),
     "cust_day": (
         """SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS dst
-        FROM orders WHERE o_orderkey % 16 = 0) t WHERE dst IS NOT NULL AND src <> dst""",
+        FROM orders) t WHERE dst IS NOT NULL AND src <> dst""",
         "(SELECT max(c_custkey) + 1 FROM customer)",
     ),
     "part_supp": (
@@ -29,7 +29,8 @@ SQL = {
 
 
 def _top(df: DataFrame, key: str) -> int:
-    return (df.agg(F.max(key)).first()[0] or -1) + 1
+    most = df.agg(F.max(key)).first()[0]
+    return 0 if most is None else most + 1
 
 
 def part_chain(spark: SparkSession, sf_dir: str) -> Graph:
@@ -40,9 +41,9 @@ def part_chain(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def cust_day(spark: SparkSession, sf_dir: str) -> Graph:
-    """Consecutive customers of a day's sampled orders."""
+    """Consecutive customers of a day's orders."""
     w = Window.partitionBy(F.to_date("o_orderdate")).orderBy("o_orderkey")
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 16 = 0")
+    orders = table(spark, sf_dir, "orders")
     edges = orders.select(F.col("o_custkey").alias("src"), F.lead("o_custkey").over(w).alias("dst")).where("dst is not null and src <> dst").distinct()
     return Graph(edges, _top(table(spark, sf_dir, "customer"), "c_custkey"))
 
