@@ -34,7 +34,7 @@ class Graph:
 
     def simple_undirected(self) -> DataFrame:
         """Distinct (u, v), u < v, without loops."""
-        return self.edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+        return self.inner.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
 
     def degrees(self) -> DataFrame:
         """(id, out_degree, in_degree) of every vertex, isolated ones included."""
@@ -42,6 +42,11 @@ class Graph:
         found = ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
         return self.ids.join(found, "id", "left").select("id", F.coalesce("o", F.lit(0)).cast("long").alias("out_degree"), F.coalesce("i", F.lit(0)).cast("long").alias("in_degree"))
 
+    @property
+    def inner(self) -> DataFrame:
+        """Edges with both ends in 0..n-1: traversals and rankings take no others (see ``invalid_edges``)."""
+        return self.edges.where(F.col("src").between(0, self.n - 1) & F.col("dst").between(0, self.n - 1))
+
     def invalid_edges(self) -> DataFrame:
         """Edges with a missing end or one outside 0..n-1."""
         inside = F.col("src").between(0, self.n - 1) & F.col("dst").between(0, self.n - 1)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.graph import Graph
 from tessella.operators import layout, ranking, stats, traversal
+from tessella.sources import edge_list
 from tessella.sources.derived import SQL, cust_day, part_chain, part_supp
+from tessella.tables import scratch_path
 
 W, R = 100, 4  # tile width and stripe height of the registered layout queries
 
@@ -49,6 +52,11 @@ def _betweenness(depth: int = 8) -> str:
     return ", ".join(steps) + " " + union
 
 
+def _betweenness_sum(sources: list[int]) -> str:
+    parts = [f"SELECT id, dependency FROM ({_betweenness().replace('SELECT 0::BIGINT', f'SELECT {k}::BIGINT').replace(', 0::BIGINT, 0::BIGINT', f', 0::BIGINT, {k}::BIGINT').replace('round(sigma * x - 1, 6) + 0.0', 'sigma * x - 1')}) WHERE id <> {k}" for k in sources]
+    return f"SELECT id, round(sum(dependency), 6) + 0.0 AS dependency FROM ({' UNION ALL '.join(parts)}) GROUP BY id"
+
+
 def _mis(rounds: int = 24) -> str:
     steps = [f"{CD}{_BOTH}, f0 AS MATERIALIZED (SELECT id, 1 AS st FROM v)"]
     for k in range(rounds):
@@ -66,6 +74,9 @@ def _rounded(df, *names: str):
     return df.withColumns({x: F.round(x, 6) + 0.0 for x in names})
 
 
+_EDGES = f"{PC} SELECT src, dst, weight FROM e"
+
+
 def _advice(spark, sf_dir):
     g = part_chain(spark, sf_dir)
     least, most = layout.tile_width_range(g.n * 1000, g.edges.count() * 1000)
@@ -84,7 +95,7 @@ TABLE = {
     "reverse_edges": (lambda s, d: part_chain(s, d).reversed().edges, f"{PC} SELECT dst AS src, src AS dst, weight FROM e"),
     "source_order": (lambda s, d: layout.source_order(part_chain(s, d)), f"{PC} SELECT src, dst, weight, row_number() OVER (ORDER BY src, dst, weight) - 1 AS position FROM e"),
     "shift_ids": (lambda s, d: layout.shifted(part_chain(s, d).edges, 1), f"{PC} SELECT src + 1 AS src, dst + 1 AS dst, weight FROM e"),
-    "invalid_edges": (lambda s, d: part_chain(s, d).invalid_edges(), f"{PC} SELECT e.* FROM e, n WHERE src < 0 OR dst < 0 OR src >= n OR dst >= n"),
+    "invalid_edges": (lambda s, d: Graph((g := part_chain(s, d)).edges, g.n // 2).invalid_edges(), f"{PC} SELECT e.* FROM e, n WHERE src < 0 OR dst < 0 OR src >= n // 2 OR dst >= n // 2"),
     "adjacency_lists": (
         lambda s, d: layout.adjacency(part_chain(s, d)).select("id", "degree", "offset", F.array_min("neighbours").alias("first"), F.array_max("neighbours").alias("last")),
         f"{PC}, a AS (SELECT v.id, count(e.src) AS degree, min(e.dst) AS first, max(e.dst) AS last FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) SELECT id, degree, CAST(coalesce(sum(degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", first, last FROM a",
@@ -144,12 +155,46 @@ TABLE = {
         lambda s, d: stats.component_summary(stats.connected_components(cust_day(s, d))),
         f"{_WCC}, z AS (SELECT value, count(*) AS size FROM b GROUP BY value) SELECT (SELECT count(*) FROM z) AS components, value AS largest, size AS largest_size FROM z ORDER BY size DESC, value LIMIT 1",
     ),
-    "betweenness": (lambda s, d: _rounded(ranking.betweenness(part_chain(s, d).bucketed()), "dependency"), _betweenness()),
+    "betweenness": (lambda s, d: _rounded(ranking.betweenness(part_chain(s, d).bucketed()), "dependency").withColumn("sigma", F.col("sigma").cast("long")), _betweenness()),
+    "betweenness_sum": (lambda s, d: _rounded(ranking.betweenness_sum(part_chain(s, d).bucketed(), [0, 1, 2]), "dependency"), _betweenness_sum([0, 1, 2])),
     "independent_set": (lambda s, d: ranking.independent_set(cust_day(s, d)), _mis()),
     "independent_set_check": (
         lambda s, d: ranking.independent_set_violations(g := cust_day(s, d), ranking.independent_set(g)).groupBy("fault").agg(F.count(F.lit(1)).alias("faults")),
         "SELECT 'edge' AS fault, 0::BIGINT AS faults WHERE false",
     ),
+    "independent_set_size": (lambda s, d: ranking.independent_set_size(ranking.independent_set(cust_day(s, d))), f"SELECT count(*) FILTER (status = 3) AS size FROM ({_mis()})"),
+    "independent_set_faults": (
+        lambda s, d: ranking.independent_set_violations(g := cust_day(s, d), g.ids.select("id", F.when(F.col("id") % 3 == 0, 3).otherwise(2).alias("status"))),
+        f"{CD}{_BOTH} SELECT 'edge' AS fault, src AS id FROM u WHERE src < dst AND src % 3 = 0 AND dst % 3 = 0 UNION ALL SELECT 'gap', id FROM v WHERE id % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM u WHERE src = id AND dst % 3 = 0)",
+    ),
+    "bfs_profile": (lambda s, d: traversal.bfs_profile(part_chain(s, d).bucketed()).select("level", "vertices"), f"{PC}{_BFS} SELECT level, count(*) AS vertices FROM b GROUP BY level"),
+    "bellman_ford_weighted": (lambda s, d: traversal.bellman_ford(part_chain(s, d).bucketed(), weight="weight"), f"{PC}{_relax('SELECT 0::BIGINT, 0::BIGINT', 'b.value + e.weight')} SELECT id, value AS dist FROM b"),
+    "relabelled_by_bfs": (
+        lambda s, d: layout.relabelled(g := part_chain(s, d).bucketed(), layout.labels_by_bfs(g)).edges,
+        f"{PC}{_BFS}, l AS (SELECT v.id, row_number() OVER (ORDER BY level ASC NULLS LAST, v.id) - 1 AS k FROM v LEFT JOIN b ON b.id = v.id) SELECT a.k AS src, z.k AS dst, weight FROM e JOIN l a ON a.id = e.src JOIN l z ON z.id = e.dst",
+    ),
+    # Files: written to the shared folder and read again.
+    "edge_list_file": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_edge_list(g, p), lambda p, g: edge_list.read_edge_list(s, p, True).edges), _EDGES),
+    "plain_edge_list_file": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_edge_list(_plain(g), p), lambda p, g: edge_list.read_edge_list(s, p).edges), f"{PC} SELECT src, dst FROM e"),
+    "headless_file": (lambda s, d: _back(s, d, edge_list.write_headless, lambda p, g: edge_list.read_headless(s, p, g.n, True).edges), _EDGES),
+    "converted_file": (lambda s, d: _back(s, d, edge_list.write_converted, lambda p, g: edge_list.read_converted(s, p, g.n).edges), _EDGES),
+    "sharded_files": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(g, p, 8), lambda p, g: edge_list.read_shards(s, p, 8, True).edges), _EDGES),
+    "plain_sharded_files": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(_plain(g), p, 8), lambda p, g: edge_list.read_shards(s, p, 8).edges), f"{PC} SELECT src, dst FROM e"),
+    "reversed_files": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(g, p, 8), lambda p, g: edge_list.read_shards(s, p, 8, True).reversed().edges), f"{PC} SELECT dst AS src, src AS dst, weight FROM e"),
+    "tiled_files": (
+        lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(g, p, 8, ["tile_id"], layout.tiled(g, W)), lambda p, g: layout.tiled(edge_list.read_shards(s, p, 8, True), W).select("src", "dst", "weight", "tile_id")),
+        f"{PC}, s AS MATERIALIZED (SELECT CAST(ceil(n / {W}.0) AS BIGINT) AS side FROM n) SELECT src, dst, weight, (src // {W}) * side + dst // {W} AS tile_id FROM e, s",
+    ),
+    "striped_files": (
+        lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(g, p, 8, ["stripe_order"], layout.striped(g, W, R)), lambda p, g: edge_list.read_shards(s, p, 8, True).edges),
+        _EDGES,
+    ),
+    "degree_file": (lambda s, d: _back(s, d, lambda g, p: edge_list.write_shards(g, p, 8), lambda p, g: edge_list.read_degrees(s, p)), f"{PC} SELECT v.id, count(e.src) AS out_degree FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id"),
+    "offset_file": (
+        lambda s, d: _back(s, d, lambda g, p: edge_list.write_offsets(layout.tile_offsets(g, W), p), lambda p, g: edge_list.read_offsets(s, p)),
+        f"{_TILES}, z AS (SELECT range AS tile_id, (SELECT count(*) FROM t WHERE t.tile_id = range) AS size FROM range((SELECT side * side FROM s))) SELECT tile_id, CAST(coalesce(sum(size) OVER (ORDER BY tile_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM z",
+    ),
+    "adjacency_file": (lambda s, d: _back(s, d, edge_list.write_adjacency, lambda p, g: edge_list.read_adjacency(s, p).edges), f"{PC} SELECT src, dst FROM e"),
     "bin_average": (
         lambda s, d: stats.bin_average(part_chain(s, d).degrees().select((F.col("id") + 1).alias("pos"), F.col("out_degree").alias("value")), 16),
         f"{PC}, g AS (SELECT v.id + 1 AS pos, count(e.src) AS k FROM v LEFT JOIN e ON e.src = v.id GROUP BY v.id) SELECT (pos - 1) // 16 + 1 AS bin, CAST(sum(k) // 16 AS BIGINT) AS average FROM g GROUP BY 1 HAVING count(*) = 16",
@@ -165,6 +210,13 @@ def _plain(graph):
     return type(graph)(graph.edges.select("src", "dst"), graph.n)
 
 
+def _back(spark, sf_dir, write, read):
+    """What ``read`` finds at the path where ``write`` put the part chain."""
+    graph, path = part_chain(spark, sf_dir), scratch_path(spark, "file")
+    write(graph, path)
+    return read(path, graph)
+
+
 def queries():
     return {k: q for k, (q, _) in TABLE.items()}
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.order import global_rank, running_sum
 from tessella.graph import Graph
+from tessella.tables import stored
 
 NO_CHARACTER = "\x01"
 
@@ -29,6 +30,14 @@ def _edges(lines: DataFrame, weighted: bool, base: int) -> DataFrame:
     return lines.select((at(1) - base).alias("src"), (at(2) - base).alias("dst"), *([at(3).alias("weight")] if weighted else []))
 
 
+def _tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(place, token) of a file's words in the file's order.  The file is read in splits: the order is that of a split's
+    offset, then of its lines, then of the words of a line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
+    words = lines.select("block", "line", F.posexplode("w").alias("k", "token")).where("token <> ''")
+    return global_rank(words, [F.asc("block"), F.asc("line"), F.asc("k")], "place").select("place", "token")
+
+
 def read_edge_list(spark: SparkSession, path: str, weighted: bool = False) -> Graph:
     """One file: a header ``vertices edges``, then ``src dst[ weight]``, 1-based."""
     n = _header(spark, path)[0]
@@ -55,22 +64,26 @@ def read_shards(spark: SparkSession, prefix: str, shards: int = 64, weighted: bo
 
 
 def read_degrees(spark: SparkSession, prefix: str) -> DataFrame:
-    """(id, out_degree) from ``prefix-nneibor``: one degree a line in vertex order (one file, so read as a whole)."""
-    words = spark.read.text(f"{prefix}-nneibor", wholetext=True).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
-    return words.select(F.posexplode("w").alias("id", "d")).select(F.col("id").cast("long").alias("id"), F.col("d").cast("long").alias("out_degree"))
+    """(id, out_degree) from ``prefix-nneibor``: one degree a line in vertex order."""
+    return _tokens(spark, f"{prefix}-nneibor").select(F.col("place").alias("id"), F.col("token").cast("long").alias("out_degree"))
+
+
+def read_offsets(spark: SparkSession, prefix: str) -> DataFrame:
+    """(tile_id, offset) from ``prefix-offsets``: one offset a line in tile order."""
+    return _tokens(spark, f"{prefix}-offsets").select(F.col("place").alias("tile_id"), F.col("token").cast("long").alias("offset"))
 
 
 def read_adjacency(spark: SparkSession, path: str) -> Graph:
-    """One word, n, m, n offsets, m 0-based targets, one token a line (one file, so read as a whole)."""
-    words = spark.read.text(path, wholetext=True).select(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ").alias("w"))
-    n, m = (int(x) for x in words.select(F.element_at("w", 2), F.element_at("w", 3)).first())
-    if not n or not m:
-        return Graph(spark.createDataFrame([], "src long, dst long"), n)
-    # A vertex's targets are a slice of the token array; it ends where the next one's begin.
-    bounds = words.select("w", F.transform(F.slice("w", 4, n), lambda x: x.cast("long")).alias("o"))
-    rows = bounds.select("w", F.posexplode(F.arrays_zip(F.col("o").alias("a"), F.concat(F.slice("o", 2, n), F.array(F.lit(m).cast("long"))).alias("z"))).alias("src", "s"))
-    targets = rows.select(F.col("src").cast("long").alias("src"), F.explode(F.expr(f"slice(w, cast(s.a as int) + {4 + n}, cast(s.z - s.a as int))")).alias("dst"))
-    return Graph(targets.select("src", F.col("dst").cast("long").alias("dst")), n)
+    """One word, n, m, n offsets, m 0-based targets, separated by white space."""
+    tokens = stored(_tokens(spark, path), "tokens")
+    head = dict(tokens.where("place in (1, 2)").select("place", F.col("token").cast("long")).collect())
+    n, m = head[1], head[2]
+    rows = tokens.where((F.col("place") >= 3) & (F.col("place") < 3 + n + m)).select((F.col("place") - 3).alias("k"), F.col("token").cast("long").alias("x"))
+    # In order of place in the targets, offsets before targets, a target's source is the number of offsets so far less one.
+    offsets = rows.where(F.col("k") < n).select(F.col("x").alias("at"), F.lit(1).cast("long").alias("starts"), F.lit(None).cast("long").alias("dst"))
+    targets = rows.where(F.col("k") >= n).select((F.col("k") - n).alias("at"), F.lit(0).cast("long").alias("starts"), F.col("x").alias("dst"))
+    ordered = running_sum(offsets.unionByName(targets), [F.asc("at"), F.desc("starts")], F.col("starts"), "before")
+    return Graph(ordered.where("starts = 0").select((F.col("before") - 1).alias("src"), "dst"), n)
 
 
 # ---------------------------------------------------------------- writers
@@ -112,6 +125,13 @@ def write_edge_list(graph: Graph, path: str) -> None:
     _write_lines(ordered.select(F.lit(0).alias("shard"), "place", "line").unionByName(header), f"{path}.parts", {0: path})
 
 
+def write_converted(graph: Graph, path: str, word: str = "graph") -> None:
+    """One file: a leading word, then 0-based ``src dst weight``, in source order."""
+    ordered = global_rank(_line(graph, 0), [F.asc(c) for c in graph.edges.columns], "place")
+    header = graph.spark.createDataFrame([(0, -1, word)], "shard int, place long, line string")
+    _write_lines(ordered.select(F.lit(0).alias("shard"), "place", "line").unionByName(header), f"{path}.parts", {0: path})
+
+
 def write_headless(graph: Graph, path: str) -> None:
     """A folder of text files, 0-based, without a header."""
     _line(graph, 0).select("line").write.mode("overwrite").text(path)

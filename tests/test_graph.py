@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.graph import Graph
 from tessella.operators import layout, ranking, stats, traversal
 from tessella.operators.components import star_components
+from tessella.plans import loop
 from tessella.plans.registry import TABLE
 from tessella.sources import edge_list
 
@@ -39,6 +40,10 @@ def test_t8(t8):
     status = ranking.independent_set(t8)
     assert rows(status, "id", "status") == {(0, 3), (1, 2), (2, 2), (3, 3), (4, 2), (5, 3), (6, 2), (7, 3)}
     assert ranking.independent_set_violations(t8, status).count() == 0
+    assert ranking.independent_set_size(status).first()[0] == 4
+    bad = status.withColumn("status", F.when(F.col("id").isin(1, 3, 4), 3).otherwise(2))
+    assert rows(ranking.independent_set_violations(t8, bad), "fault", "id") == {("edge", 1), ("edge", 3), ("gap", 5), ("gap", 6), ("gap", 7)}
+    assert rows(traversal.bellman_ford(t8, 0, 9, "weight"), "id", "dist") == rows(traversal.sssp(t8), "id", "dist")
     parts = stats.connected_components(t8)
     assert rows(stats.component_sizes(parts), "component", "size") == {(0, 5), (5, 2), (7, 1)}
     assert rows(stats.component_summary(parts), "components", "largest", "largest_size") == {(3, 0, 5)}
@@ -61,13 +66,22 @@ def test_t8_layout(t8):
     assert Graph(t8.edges, 6).invalid_edges().count() == 1
 
 
-def test_odd_graphs(spark):
+def test_odd_graphs(spark, monkeypatch):
     none = Graph(spark.createDataFrame([], "src long, dst long"), 0)
     assert traversal.bfs(none).count() == traversal.min_label(none).count() == ranking.pagerank(none).count() == 0
     assert ranking.independent_set(none).count() == stats.connected_components(none).count() == ranking.betweenness(none).count() == 0
     double = Graph(spark.createDataFrame([(0, 1), (0, 1), (1, 1), (1, 2), (2, 0)], "src long, dst long"), 3)
     assert rows(traversal.bfs(double), "id", "level") == {(0, 0), (1, 1), (2, 2)}
     assert {r["id"]: r["sigma"] for r in ranking.betweenness(double).collect()} == {0: 1, 1: 2, 2: 2}
+    loose = Graph(spark.createDataFrame([(0, 1), (0, None), (None, 1), (1, 9), (-1, 0), (1, 2)], "src long, dst long"), 3)
+    assert loose.invalid_edges().count() == 4
+    assert rows(traversal.bfs(loose), "id", "level") == {(0, 0), (1, 1), (2, 2)} == rows(traversal.sssp(loose), "id", "dist")
+    assert {r["id"] for r in ranking.pagerank(loose).collect()} == {r["id"] for r in stats.connected_components(loose).collect()} == {0, 1, 2}
+    assert rows(traversal.bfs_profile(loose), "level", "vertices") == {(0, 1), (1, 1), (2, 1)}
+    assert ranking.betweenness_sum(loose, []).count() == 0 and rows(ranking.betweenness_sum(loose, [0, 1]), "id", "dependency") == {(1, 1.0), (2, 0.0)}
+    monkeypatch.setattr(loop, "MERGE", 3)
+    many = Graph(spark.createDataFrame([(k, k + 1) for k in range(8)] * 256, "src long, dst long"), 9)
+    assert {r["id"]: r["sigma"] for r in ranking.betweenness(many).collect()}[8] == 2.0**64
     path = Graph(spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long"), 13)
     assert traversal.bellman_ford(path, 0, 9).count() == 10
     assert rows(stats.bin_average(spark.createDataFrame([(i, i) for i in range(1, 8)], "pos long, value long"), 3), "bin", "average") == {(1, 2), (2, 5)}
@@ -127,6 +141,9 @@ def test_files(spark, t8, tmp_path):
     assert back(edge_list.read_headless(spark, f"{tmp_path}/h", 8, True)) == want
     edge_list.write_adjacency(t8, f"{tmp_path}/a.adj")
     assert back(edge_list.read_adjacency(spark, f"{tmp_path}/a.adj")) == Counter((a, b) for a, b, _ in T8)
+    edge_list.write_converted(t8, f"{tmp_path}/v")
+    assert back(edge_list.read_converted(spark, f"{tmp_path}/v", 8)) == want
+    assert rows(edge_list.read_offsets(spark, f"{tmp_path}/t"), "tile_id", "offset") >= {(0, 0), (3, 4), (8, 6)}
     (tmp_path / "c").write_text("word\n0 1 5\n5 6 7\n")
     assert back(edge_list.read_converted(spark, f"{tmp_path}/c", 8)) == Counter({(0, 1, 5): 1, (5, 6, 7): 1})
 
