@@ -1,8 +1,10 @@
 """Robust multivariate outliers: a minimum-covariance-determinant estimate per language and source.
 
 Every document is a vector of transformed statistics.  Per group, concentration steps keep the share ``h`` of
-documents of smallest Mahalanobis distance, and re-estimate location and scatter from them; a reweighting step
-follows.  A document beyond the chi-square cut-off is rejected.  Estimates are sums over all documents of a group,
+documents of smallest Mahalanobis distance, and re-estimate location and scatter from them, until no group's bound
+moves by more than a hundredth; a reweighting step follows.  The one start is robust: medians and absolute deviations.
+Quantiles are Spark's approximate ones (a rank is off by 1/1000 at most), so a document at the very cut-off may fall
+on either side of it when partitions differ.  A document beyond the chi-square cut-off is rejected.  Estimates are sums over all documents of a group,
 with map-side partial sums, so a group of any size meets no single task; states are one row a group.
 
 Groups of fewer than ``min_group`` usable documents are held against the estimate of all usable documents of their
@@ -71,7 +73,7 @@ def _state(sums: DataFrame, d: int, floors: list[float], factor: float, label: s
     return stored(sums.mapInPandas(solve, "g string, " + ", ".join(f"{x} double" for x in names)), label)
 
 
-def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float = 0.75, steps: int = 3, reweight: float = 0.975) -> DataFrame:
+def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float = 0.75, steps: int = 8, settled: float = 0.01, reweight: float = 0.975) -> DataFrame:
     """``vectors`` (with group ``g`` and the columns ``names``) joined with its ``distance2``; null where no state is."""
     d = len(names)
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(names[i]).alias(f"s{i}") for i in range(d)), *(F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q{i}_{j}") for i, j in _pairs(d))]
@@ -81,21 +83,30 @@ def outliers(vectors: DataFrame, names: list[str], floors: list[float], h: float
         return vectors.join(state, "g").select("g", *names, _distance(d, names).alias("distance2"), *more)
 
     # Start: medians, and spreads from the absolute deviations' median, both over all documents of the group.
+    # Medians are a table, small enough to be broadcast by its size, so that documents are not dealt out by group.
     centre = vectors.groupBy("g").agg(*(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(names)))
+    centre = stored(centre, "mcd")
     spread = vectors.join(centre, "g").groupBy("g").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(d)), *(F.percentile_approx(F.abs(F.col(x) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i, x in enumerate(names)))
     state = stored(spread.select("g", *(f"m{i}" for i in range(d)), *((F.lit(1.0) / (F.pow(F.col(f"a{i}") * 1.4826, 2) + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}_{j}") for i, j in _pairs(d))), "mcd")
     shrunk = h / chi2_cdf(chi2_quantile(h, d), d + 2)
+    final, before = False, None
     for k in range(steps + 1):
         # Bounds are a table of one row a group, so that documents meet state and bound in one join that is
         # broadcast by size, and never lie by group in one task.
-        if k < steps:
+        if k < steps and not final:
             bound = stored(measured(state).groupBy("g").agg(F.percentile_approx("distance2", h, 2000).alias("bound")), "mcd")
-        else:
+            if before is not None:
+                moved = bound.join(before.withColumnRenamed("bound", "last"), "g").agg(F.max(F.abs(F.col("bound") / F.greatest(F.col("last"), F.lit(1e-12)) - 1))).first()[0]
+                final = (moved or 0.0) <= settled
+            before = bound
+        if k == steps or final:
             bound = state.select("g", F.lit(chi2_quantile(reweight, d)).alias("bound"))
         inside = measured(state.join(bound, "g")).where("distance2 <= bound").groupBy("g").agg(*sums)
-        factor = shrunk if k < steps else reweight / chi2_cdf(chi2_quantile(reweight, d), d + 2)
+        factor = shrunk if k < steps and not final else reweight / chi2_cdf(chi2_quantile(reweight, d), d + 2)
         state, last = _state(inside, d, floors, factor, "mcd"), state
         drop_stored(vectors.sparkSession, last)
+        if final:
+            break
     return vectors.join(state, "g", "left").withColumn("distance2", _distance(d, names)).drop(*state.columns)
 
 
