@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm import textkit as tk
 from tessella.tables import table, with_row_key
@@ -127,6 +128,7 @@ def matches(docs: DataFrame, items: DataFrame, t: int = 75, n: int = 5) -> DataF
     """doc_id, item_id, n_shared and n_item: pairs with 100 * shared n-grams >= t * the item's n-grams."""
     kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, n_shared long, n_item long"
     docs = docs.select("doc_id", "text")
+    item_type = to_arrow_type(items.schema["item_id"].dataType)
 
     def search(block: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +152,7 @@ def matches(docs: DataFrame, items: DataFrame, t: int = 75, n: int = 5) -> DataF
                         if 100 * shared >= t * len(block.sets[k]):
                             out.append((ids[lo + i].as_py(), block.ids[k], shared, len(block.sets[k])))
                 cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], pa.int64() if not isinstance(next(iter(cols[1]), 0), str) else pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], ids.type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
 
         return run
 

@@ -130,9 +130,10 @@ def _totals(requests: DataFrame, shares: int, plain: bool) -> DataFrame:
         return pa.table({
             "batch": group.column("batch"), "share": group.column("share"), "totals": pa.array([pack(total[s]) for s in spans], pa.binary()),
             "ranks": pa.array([pack(rank[s]) if plain else b"" for s in spans], pa.binary()), "distinct": pa.array(first((total > 0).sum()), pa.int64()), "tokens": pa.array(first(total.sum()), pa.int64()),
+            "top": pa.array(first(int(plain and len(rank) and int(rank.max()) >> 32 > 0)), pa.int64()),
         })
 
-    return requests.groupBy("share").applyInArrow(tk.freeing_group(answer), "batch string, share int, totals binary, ranks binary, distinct long, tokens long")
+    return requests.groupBy("share").applyInArrow(tk.freeing_group(answer), "batch string, share int, totals binary, ranks binary, distinct long, tokens long, top long")
 
 
 def _words(state: pa.Table, answers: pa.Table) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -221,9 +222,11 @@ def scores(docs: DataFrame, fold: int = 1) -> DataFrame:
     batches = batches_of(docs, fold)
     words = stored(_totals(_word_requests(batches, shares), shares, True), "words")
     n, v = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    answers = words.drop("distinct", "tokens")
+    if words.agg(F.max("top")).first()[0] or 0:
+        raise ValueError("more distinct words than pairs of ids can hold")
+    answers = words.drop("distinct", "tokens", "top")
     pairs = stored(_totals(_pair_requests(batches, answers, shares, fold), shares, False), "pairs")
-    answers = answers.unionByName(pairs.drop("distinct", "tokens"))
+    answers = answers.unionByName(pairs.drop("distinct", "tokens", "top"))
     sides = batches.select("batch", "ids", "sizes", "tokens").groupBy("batch").cogroup(answers.groupBy("batch"))
     uniform = 1.0 / (v + 1)
 

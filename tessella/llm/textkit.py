@@ -24,7 +24,8 @@ LOWER[65:91] += 32
 _FOLDED = _TABLE[LOWER]
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+CHUNK = 1 << 19
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK - 1, U(x))]), dtype=np.uint64) for x in (_BASE, _INVERSE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,16 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(1 << 20, 1 << (n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, U(_BASE)), np.full(size, U(_INVERSE))
-        up[0] = down[0] = 1
-        _powers[size] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return _powers[size]
-
-
 def blocks(texts: pa.Array, target: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) for runs of rows of about ``target`` bytes; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -87,12 +78,24 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, fold: bool = True) -> tuple[
 
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """The hash of each run of bytes."""
-    n = len(data)
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, U)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * up[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
+    """The hash of each run of bytes; runs are in order and do not overlap."""
+    # Running sums by chunk: nothing but the runs themselves grows with a long text.
+    at_start, at_end, shift = np.empty(len(starts), U), np.empty(len(starts), U), np.empty(len(starts), U)
+    before, values = U(0), _FOLDED if fold else _TABLE
+    for lo in range(0, len(data), CHUNK):
+        part = data[lo : lo + CHUNK]
+        scale, back = U(pow(_BASE, lo, 2**64)), U(pow(_INVERSE, lo, 2**64))
+        total = np.empty(len(part) + 1, U)
+        total[0] = before
+        np.cumsum(values[part] * _UP[: len(part)] * scale, out=total[1:])
+        total[1:] += before
+        a, z = np.searchsorted(starts, [lo, lo + len(part)])
+        at_start[a:z] = total[starts[a:z] - lo]
+        shift[a:z] = _DOWN[starts[a:z] - lo] * back
+        a, z = np.searchsorted(ends, [lo + 1, lo + len(part) + 1])
+        at_end[a:z] = total[ends[a:z] - lo]
+        before = total[-1]
+    return mix((at_end - at_start) * shift + (ends - starts).astype(U))
 
 
 def ngrams(words: np.ndarray, n: int = 5) -> np.ndarray:
