@@ -1,9 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
-Documents are summed to cells (source, language, topic).  A cell's weight is its tokens times one factor of each of its
-margins; the factors are fitted in turn until every margin has its target total.  Only the three tables of factors
-change from step to step: each is a sum over the cells by one margin (combined on the map side), written and read
-again, so neither plans nor lineage grow, and no margin's cells meet in one task.
+Documents are summed to cells (source, language, topic).  Cell weights start as token counts and are scaled to the
+target totals of each margin in turn, until every margin has its target.  A step sums the cells by one margin (combined
+on the map side), joins the totals back and is written and read again, so neither plans nor lineage grow, and no margin's
+cells meet in one task.
 
 A document is sampled with probability ``rate * factor`` of its cell against a uniform number made from the MD5 of its
 id, so a sample is the same wherever and whenever it is drawn.  The rate is at most 1 / the largest factor: no
@@ -56,40 +56,26 @@ def cells_of(keyed_docs: DataFrame) -> DataFrame:
     return stored(keyed_docs.groupBy(*MARGINS).agg(F.sum("n").cast("double").alias("tokens")), "cells")
 
 
-def targets(cells: DataFrame, margin: str, flatten: float = FLATTEN) -> DataFrame:
-    """(margin, target): the margin's share of tokens to the power ``flatten``, scaled to all tokens."""
-    totals = stored(cells.groupBy(margin).agg(F.sum("tokens").alias("t")), "margin")
-    every, flat = totals.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum(F.pow("t", F.lit(flatten))), F.lit(0.0))).first()
-    return stored(totals.select(margin, (F.pow("t", F.lit(flatten)) / flat * every if flat else F.lit(0.0)).alias("target")), "targets")
-
-
 def raked(cells: DataFrame, rounds: int = ROUNDS, flatten: float = FLATTEN, tolerance: float = TOLERANCE) -> DataFrame:
-    """(source, lang, topic, tokens, factor): after at most ``rounds`` rounds over the margins, fewer where no factor
-    moves by more than ``tolerance``."""
+    """(source, lang, topic, tokens, factor): after at most ``rounds`` rounds over the margins, fewer where no margin is
+    off its target by more than ``tolerance``."""
     spark = cells.sparkSession
-    wanted = {m: targets(cells, m, flatten) for m in MARGINS}
-    factors = {m: wanted[m].select(m, F.lit(1.0).alias(f"f_{m}")) for m in MARGINS}
-    old: dict[str, DataFrame] = {}
+    for m in MARGINS:
+        totals = stored(cells.groupBy(m).agg(F.sum("tokens").alias("t")), "margin")
+        every, flat = totals.agg(F.coalesce(F.sum("t"), F.lit(0.0)), F.coalesce(F.sum(F.pow("t", F.lit(flatten))), F.lit(0.0))).first()
+        cells = cells.join(totals.select(m, (F.pow("t", F.lit(flatten)) / flat * every if flat else F.lit(0.0)).alias(f"to_{m}")), m)
+    cells = stored(cells.select(*MARGINS, "tokens", *(f"to_{m}" for m in MARGINS), F.col("tokens").alias("w"), F.lit(0.0).alias("off")), "raked")
+    fixed = [*MARGINS, "tokens", *(f"to_{m}" for m in MARGINS)]
     for _ in range(rounds):
         for m in MARGINS:
-            weight, rows = F.col("tokens"), cells
-            for other in MARGINS:
-                if other != m:
-                    rows, weight = rows.join(factors[other], other), weight * F.col(f"f_{other}")
-            totals = rows.groupBy(m).agg(F.sum(weight).alias("t")).join(wanted[m], m).join(factors[m].withColumnRenamed(f"f_{m}", "last"), m)
-            fitted = totals.select(m, F.when(F.col("t") > 0, F.col("target") / F.col("t")).otherwise(F.col("last")).alias(f"f_{m}"), "last")
-            fitted = stored(fitted.select(m, f"f_{m}", F.abs(F.col(f"f_{m}") / F.col("last") - 1).alias("moved")), "factors")
-            factors[m] = fitted.select(m, f"f_{m}")
-            if m in old:
-                drop_stored(spark, old[m])
-            old[m] = fitted
-        moved = old["source"].select("moved").unionByName(old["lang"].select("moved")).agg(F.max("moved")).first()[0]
-        if (moved or 0.0) <= tolerance:
+            totals = cells.groupBy(m).agg(F.sum("w").alias("t"))
+            off = F.when(F.col("t") > 0, F.abs(F.col(f"to_{m}") / F.col("t") - 1)).otherwise(0.0)
+            w = F.when(F.col("t") > 0, F.col("w") * F.col(f"to_{m}") / F.col("t")).otherwise(F.col("w"))
+            last, cells = cells, stored(cells.join(totals, m).select(*fixed, w.alias("w"), (off if m == MARGINS[0] else F.greatest("off", off)).alias("off")), "raked")
+            drop_stored(spark, last)
+        if (cells.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-    for m in MARGINS:
-        cells = cells.join(factors[m], m)
-    factor = F.col("f_source") * F.col("f_lang") * F.col("f_topic")
-    return stored(cells.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, factor).otherwise(1.0).alias("factor")), "raked")
+    return cells.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0).alias("factor"))
 
 
 def feasible_rate(cells: DataFrame, rate: float = RATE) -> float:

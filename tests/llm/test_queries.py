@@ -560,7 +560,7 @@ def test_pipeline(spark, corpus, documents):
             assert set(new) == set(old) and all(not pii.base_spans(r["text"] or "") for r in new.values())
             assert all(r["text"] == old[i]["text"] for i, r in new.items() if not any(c in (old[i]["text"] or "") for c in "0123456789@"))
         else:
-            assert set(new) == {r["doc_id"] for r in mixing.sampled(before).collect()}
+            assert set(new) == {r["id"] for r in mixing.sampled(before).collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, corpus).collect()} == set(new)
 
 
