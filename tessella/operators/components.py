@@ -19,11 +19,11 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     around = _both(edges)
     least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    below = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    below = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = below.groupBy("u").agg(F.min("v").alias("m"))
     moved = below.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -26,15 +27,46 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/tessella-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    _written.append(path)
     return path
 
 
+def mark() -> int:
+    """A place in the list of intermediate tables, for ``drop_since``."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Remove the intermediate tables written after ``mark`` but those that ``keep`` reads, and let the driver notice
+    that the shuffles behind them are done with: their files otherwise stay on the executors' disks."""
+    kept = {f.rsplit("/", 1)[0].rsplit(":", 1)[-1].replace("//", "/") for df in keep for f in df.inputFiles()}
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for path in _written[since:]:
+        if path.rsplit(":", 1)[-1].replace("//", "/") in kept:
+            left.append(path)
+        else:
+            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+    _written[since:] = left
+    forget_shuffles(spark)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that the shuffles of finished queries are removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends in files that outlive any executor."""
     spark = df.sparkSession
