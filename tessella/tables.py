@@ -48,11 +48,11 @@ def mark() -> int:
 def drop_since(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Remove the intermediate tables written after ``mark`` but those that ``keep`` reads, and let the driver notice
     that the shuffles behind them are done with: their files otherwise stay on the executors' disks."""
-    kept = {f.rsplit("/", 1)[0].rsplit(":", 1)[-1].replace("//", "/") for df in keep for f in df.inputFiles()}
+    kept = {f.rsplit("/", 2)[1] for df in keep for f in df.inputFiles()}  # a table's folder has a name of its own
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     left = []
     for path in _written[since:]:
-        if path.rsplit(":", 1)[-1].replace("//", "/") in kept:
+        if path.rsplit("/", 1)[1] in kept:
             left.append(path)
         else:
             hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
