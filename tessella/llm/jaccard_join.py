@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessella.llm import textkit as tk
 from tessella.llm.lm_scoring import pack, unpack
 from tessella.operators.components import star_components
-from tessella.tables import bucketed, drop_stored, partitions, stored, table, with_row_key
+from tessella.tables import bucketed, drop_since, mark, partitions, stored, table, with_row_key
 
 U = np.uint64
 BATCH_BYTES = 8_000_000
@@ -47,7 +47,7 @@ INDEX = 24  # bits of a node's id that number it within its batch
 HEADS = 6  # elements of a node's prefix that its entries carry
 RANGES = 512  # of hash, whose parities stand for a set
 PARITY = [f"p{i}" for i in range(RANGES // 64)]
-ROUNDS = 3  # of stars, before what is left of the lists is searched
+ROUNDS = 2  # of stars, before what is left of the lists is searched
 
 
 def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
@@ -358,7 +358,7 @@ def _across(lists: DataFrame, sets: DataFrame, t: int) -> DataFrame:
 
 def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     shares = partitions(spark)
     batches = batches_of(docs, n)
     total = batches.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
@@ -369,8 +369,8 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     entries = stored(_entries(batches, answers, bits, shares, t), "entries")
     label = spark.createDataFrame([], "id long, component long")
     lists = _mixed(entries, label)  # of two members at least
-    drop_stored(spark, entries)
     sets = _sets(batches, lists.select("node").distinct())
+    drop_since(spark, since, members, lists, sets)
     links, tried = [], None
     for k in range(ROUNDS):
         best = stored(_stars(lists, tried, t, k), "best")
@@ -379,8 +379,8 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
         tried = best if tried is None else tried.unionByName(best)
         links.append(stored(verified(best, sets, t), "links"))
         label = _labelled(reduce(DataFrame.unionByName, links))
-        last, lists = lists, _mixed(lists, label)
-        drop_stored(spark, last)
+        lists = _mixed(lists, label)
+        drop_since(spark, since, members, lists, sets, label, tried, *links)
     rest = _across(lists, sets, t)
     rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
@@ -390,6 +390,7 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
     owner = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"))
     owner = stored(_placed(owner, label, "node"), "owner")
     least = owner.groupBy("of_node").agg(F.min("owner").alias("component_id"))
+    drop_since(spark, since, members, owner)
     owner = owner.join(least, "of_node").select("node", "component_id")
     return members.join(owner, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -397,8 +398,10 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component, the one of smallest id (rows without an id last, then the first written); rows that
     share an id but not a text each stand for their own text."""
+    since = mark()
     rows = with_row_key(docs, "jaccard_rows")
     found = stored(components(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id"), "components")
+    drop_since(spark, since, rows, found)
     several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component_id")
     inside = found.join(several, "component_id").join(rows.select("__row", "doc_id"), "__row")
     kept = inside.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "__row")).alias("m")).select(F.col("m.__row").alias("__row"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import docstats
-from tessella.tables import drop_stored, stored, table, with_row_key
+from tessella.tables import drop_since, drop_stored, mark, stored, table, with_row_key
 
 VECTOR = ["x_words", "x_length", "x_symbols", "x_dup", "x_repeat", "x_upper", "x_loud", "x_caps"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -142,8 +142,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The verdict is the row's own: documents without an id, and those that share one, stay or go each by its own text.
     """
+    since = mark()
     rows = with_row_key(docs, "quality_rows")
-    verdict = verdicts(rows, key="__row").where("not kept").select("__row")
+    verdict = stored(verdicts(rows, key="__row").where("not kept").select("__row"), "rejected")
+    drop_since(spark, since, rows, verdict)
     return rows.join(verdict, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
