@@ -44,10 +44,10 @@ U = np.uint64
 BATCH_BYTES = 8_000_000
 BITS = 48  # of an n-gram's hash
 INDEX = 24  # bits of a node's id that number it within its batch
-HEADS = 6  # elements of a node's prefix that its entries carry
+HEADS = 12  # elements of a node's prefix that its entries carry
 RANGES = 512  # of hash, whose parities stand for a set
 PARITY = [f"p{i}" for i in range(RANGES // 64)]
-ROUNDS = 2  # of stars, before what is left of the lists is searched
+ROUNDS = 3  # of stars, before what is left of the lists is searched
 
 
 def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
