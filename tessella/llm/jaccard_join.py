@@ -14,7 +14,9 @@ cross the shuffle:
    centre of most of its lists, and components are joined.
 4. What is left are lists whose members lie in different components: their pairs across components are verified too.
    An entry knows the first elements of its node's prefix, so a pair is made at the first element that both share and
-   not at later ones.  Pairs within a component are never needed: copies are not expanded, and no link is lost.
+   not at later ones.  Of these pairs every node's closest is verified first and components are joined, for a few
+   rounds; then all that still lie across components.  Pairs within a component are never needed: copies are not
+   expanded, and no link is lost.
 
 Candidates pass the length and the positional filter, and parities of the elements by range of hash bound the symmetric
 difference (the suffix filter).  Every pair is verified once, on whole sets.
@@ -45,9 +47,10 @@ BATCH_BYTES = 8_000_000
 BITS = 48  # of an n-gram's hash
 INDEX = 24  # bits of a node's id that number it within its batch
 HEADS = 12  # elements of a node's prefix that its entries carry
-RANGES = 512  # of hash, whose parities stand for a set
+RANGES = 2048  # of hash, whose parities stand for a set
 PARITY = [f"p{i}" for i in range(RANGES // 64)]
 ROUNDS = 3  # of stars, before what is left of the lists is searched
+CLOSEST = 2  # rounds over the pairs left, each of every node's closest pair
 
 
 def prefix_length(n: np.ndarray | int, t: int) -> np.ndarray | int:
@@ -285,18 +288,26 @@ def _sets(batches: DataFrame, wanted: DataFrame) -> DataFrame:
     return bucketed(sides.applyInArrow(tk.freeing_cogroup(run), "node long, size long, elements binary, " + ", ".join(f"{x} long" for x in PARITY)), "node", "wanted", "uncompressed")
 
 
+def apart(other: str) -> F.Column:
+    """A lower bound of the symmetric difference: ranges of different parity each hold an element of it."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{other}{x}"))) for x in PARITY))
+
+
 def may_agree(size_a: str, size_b: str, other: str, t: int) -> F.Column:
-    """Suffix filter: ranges of different parity each hold an element of the symmetric difference."""
-    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col(x).bitwiseXOR(F.col(f"{other}{x}"))) for x in PARITY))
+    """Suffix filter by ``apart``."""
     both = F.col(size_a) + F.col(size_b)
-    return (100 + t) * F.floor((both - apart) / 2) >= t * both
+    return (100 + t) * F.floor((both - apart(other)) / 2) >= t * both
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def suffix_filtered(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) that pass the suffix filter."""
     slim = sets.select("node", "size", *PARITY)
     near = pairs.join(slim.withColumnRenamed("node", "a"), "a").join(slim.select(F.col("node").alias("b"), *(F.col(c).alias(f"other_{c}") for c in ("size", *PARITY))), "b")
-    near = stored(near.where(may_agree("size", "other_size", "other_", t)).select("a", "b"), "near")
+    return stored(near.where(may_agree("size", "other_size", "other_", t)).select("a", "b"), "near")
+
+
+def verified(near: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,13 +358,21 @@ def _stars(lists: DataFrame, tried: DataFrame | None, t: int, k: int) -> DataFra
 
 
 def _across(lists: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The distinct candidates (a, b) of mixed lists, across components: each has a member outside the main one."""
+    """The distinct candidates (a, b) of mixed lists, across components: each has a member outside the main one; and
+    ``far``, how far apart they are by the suffix filter."""
     lists = lists.join(sets.select("node", *PARITY), "node")
     other = lists.select("element", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "position", "heads", "of_node", *PARITY)))
     once = (F.col("other_of_node") == F.col("main")) | (F.col("of_node") < F.col("other_of_node"))
     first = may_link("size", "position", "other_size", "other_position", t) & ~F.arrays_overlap("heads", "other_heads")
     pairs = lists.where("of_node <> main").join(other, "element").where((F.col("of_node") != F.col("other_of_node")) & once & first & may_agree("size", "other_size", "other_", t))
-    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    far = apart("other_") / (F.col("size") + F.col("other_size"))
+    return pairs.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"), far.alias("far")).distinct()
+
+
+def _closest(pairs: DataFrame) -> DataFrame:
+    """The closest pair of every node."""
+    ends = pairs.select("a", "b", "far", F.explode(F.array("a", "b")).alias("x"))
+    return ends.groupBy("x").agg(F.min(F.struct("far", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
 
 
 def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
@@ -377,15 +396,22 @@ def components(docs: DataFrame, t: int = 75, n: int = 5) -> DataFrame:
         if best.isEmpty():
             break
         tried = best if tried is None else tried.unionByName(best)
-        links.append(stored(verified(best, sets, t), "links"))
+        links.append(stored(verified(suffix_filtered(best, sets, t), sets, t), "links"))
         label = _labelled(reduce(DataFrame.unionByName, links))
         lists = _mixed(lists, label)
         drop_since(spark, since, members, lists, sets, label, tried, *links)
     rest = _across(lists, sets, t)
     rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links.append(stored(verified(rest, sets, t), "links"))
+    for k in range(CLOSEST + 1):
+        if rest.isEmpty():
+            break
+        best = stored(_closest(rest), "best") if k < CLOSEST else rest
+        links.append(stored(verified(best, sets, t), "links"))
         label = _labelled(reduce(DataFrame.unionByName, links))
+        if k < CLOSEST:
+            rest = _placed(rest.join(best, ["a", "b"], "left_anti"), label, "a", "b").where("of_a <> of_b")
+            rest = stored(rest.select("a", "b", "far"), "rest")
+        drop_since(spark, since, members, sets, label, rest, *links)
     # Components of smallest document ids.
     owner = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("owner"))
     owner = stored(_placed(owner, label, "node"), "owner")
