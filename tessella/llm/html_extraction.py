@@ -3,12 +3,16 @@
 A page is read into a tree of elements with blocks of text.  Elements that never hold the article (scripts, forms,
 navigation, footers, adverts, notices, reader comments, ...) are cut by element, role or class name.  A class name
 alone does not cut what holds the page: an element with a name for content or with modifiers only (has-sidebar) stays,
-and so does one that holds the only article or most of the paragraphs; its inner elements are judged anew.  Every paragraph
-of the rest passes points for its length and commas to its ancestors, fewer the higher they are; a container's points
-are discounted by its link density.  The best container (the ``article`` or ``main`` element around it, if there is
-one) is kept with those siblings that look like content: those with a share of its points, text of few links between
-such siblings, and lists, tables and quotations of few links after them.  Nothing inside them is dropped but what was
-cut before.
+and so does one that holds the only article or most of the paragraphs; its inner elements are judged anew.  A word that
+content has in its names too (social, search, ...) cuts by name only where all words of the name are of that kind; beside
+other words the element is judged by its paragraphs and link density.  Every paragraph of the rest passes points for its
+length and commas to the nearest six ancestors, fewer the higher they are; a container's points are discounted by its
+link density.  The best container is kept with those siblings that look like content: those with a share of its points,
+text of few links between such siblings, and lists, tables and quotations of few links after them.  Where the best
+container lies in an ``article`` or ``main``, its siblings and those of its ancestors up to that element stay unless most
+of their text is links.  Nothing inside what is kept is dropped but what was cut before.
+
+A page takes time in proportion to its length, however deep its elements lie.
 
 Null, empty or text-free html gives an empty text.  Tags left open, cut off or closed twice are tolerated; character
 references are decoded; any white space within a block becomes one space; blocks are joined by two newlines in page
@@ -19,7 +23,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import islice, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +53,17 @@ LAYOUT_WORDS = {
     "alert", "announcement", "aside", "banner", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "notice", "notices", "overlay", "pager", "pagination", "promo",
     "promoted", "rail", "search", "share", "sharing", "sidebar", "skyscraper", "social", "toolbar", "widget",
 }
+#: Of CUT_WORDS, those that names of content have too ...
+DOUBTFUL_WORDS = {
+    "alert", "announcement", "banner", "disclaimer", "notice", "notices", "overlay", "pager", "rail", "recommended", "related", "replies",
+    "reply", "respond", "search", "share", "sharing", "social", "widget",
+}
+#: ... and the words beside which they still cut.
+BOX_WORDS = {
+    "area", "articles", "bar", "block", "blocks", "bottom", "box", "button", "buttons", "card", "cards", "container", "content", "danger", "error", "float", "floating", "form", "global",
+    "group", "icon", "icons", "info", "inline", "inner", "item", "items", "left", "legal", "link", "links", "list", "media", "message", "module", "outer", "page", "pages", "panel", "post", "posts",
+    "primary", "right", "section", "site", "sticky", "stories", "story", "strip", "success", "system", "text", "title", "tool", "tools", "top", "warning", "wrap", "wrapper",
+}
 CONTENT_WORDS = {"article", "content", "entry", "headline", "post", "story", "title"}
 LEAVES = {"p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "caption", "address"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -61,10 +79,10 @@ _MODIFIER = re.compile(r"(^|[-_])(has|no|not|with|without|hide)[-_].*|.*[-_](ena
 _ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
-def named_cut(kind: str) -> tuple[str, set[str]]:
-    """The first class name or id that has a word of CUT_WORDS (or header) and all such words; empty if there is none,
-    or if a name beside it has words for content and none of these."""
-    first, found = "", set()
+def named_cut(kind: str) -> tuple[str, set[str], bool]:
+    """The first class name or id that has a word of CUT_WORDS (or header), all such words, and whether each such name is
+    doubtful; empty if there is none, or if a name beside it has words for content and none of these."""
+    first, found, doubtful = "", set(), True
     content = False
     for name in (_MODIFIER.sub("", x) for x in kind.split()):
         words = {w.lower() for w in _WORDS.findall(name)}
@@ -72,7 +90,8 @@ def named_cut(kind: str) -> tuple[str, set[str]]:
         content = content or (not cut and bool(words & CONTENT_WORDS))
         if cut:
             first, found = first or name, found | cut
-    return ("", set()) if content else (first, found)
+            doubtful = doubtful and cut <= DOUBTFUL_WORDS and not words <= CUT_WORDS | BOX_WORDS
+    return ("", set(), False) if content or not first else (first, found, doubtful)
 
 
 class Tree:
@@ -80,43 +99,69 @@ class Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.cut = ["#root"], [-1], [False]
-        self.named: dict[int, tuple[str, set[str]]] = {}  # elements that their class name may cut
+        self.named: dict[int, tuple[str, set[str], bool]] = {}  # elements that their class name may cut; whether by scores alone
         self.blocks: list[tuple[int, str, int]] = []
-        self._open, self._text, self._linked = [0], [], 0
+        # By element: the nearest that is not inline, whether a link is open, whether an article or main is.
+        self._block, self._in_link, self._in_article = [0], [False], [False]
+        self._open, self._at = [0], defaultdict(list)  # open elements, and their positions by tag
+        self._text, self._linked = [], 0
         self._read(page)
         if self.named:
             self._settle()
 
+    def summed(self, own: list) -> list:
+        """An element's value with those of all elements in it; elements are in page order, so parents come first."""
+        for e in range(len(own) - 1, 0, -1):
+            if self.parent[e] > 0:
+                own[self.parent[e]] += own[e]
+        return own
+
     def _settle(self) -> None:
         """Cut the elements of ``named`` that do not hold the page, outermost first, with all they hold."""
         n = len(self.tag)
-        chars, worth = [0] * n, [0.0] * n
-        for owner, text, links in self.blocks:
-            for e in self._ancestors(owner):
-                chars[e] += len(text)
-                worth[e] += points(text) * (1 - links / len(text))
+        chars, links, worth = [0] * n, [0] * n, [0.0] * n
+        for owner, text, linked in self.blocks:
+            chars[owner] += len(text)
+            links[owner] += linked
+            worth[owner] += points(text) * (1 - linked / len(text))
+        rootless = worth[0]
+        chars, links, worth = self.summed(chars), self.summed(links), self.summed(worth)
+        last = list(range(n))  # the last element within
+        for e in range(n - 1, 0, -1):
+            last[self.parent[e]] = max(last[self.parent[e]], last[e])
         outer = [0] * n  # the outermost named element around, itself included
         whole = [0] * n  # the innermost article or main around, itself included
         for e in range(1, n):
             outer[e] = outer[self.parent[e]] or (e if e in self.named else 0)
             whole[e] = e if self.tag[e] in ("article", "main") and not self.cut[e] else whole[self.parent[e]]
         articles = [e for e in range(1, n) if whole[e] == e and chars[e]]
-        total = sum(worth[e] for e in range(1, n) if self.parent[e] == 0) + sum(points(t) * (1 - k / len(t)) for o, t, k in self.blocks if o == 0)
+        total = rootless + sum(worth[e] for e in range(1, n) if self.parent[e] == 0)
         paragraphs = any(not outer[o] and (self.tag[o] == "p" or points(t) * (1 - k / len(t)) > 0) for o, t, k in self.blocks)
         outside = sum(points(t) * (1 - k / len(t)) for o, t, k in self.blocks if not outer[o])
         apart = [e for e in articles if not outer[e]]
-        group: dict[str, float] = {}
-        for e, (name, _) in self.named.items():
-            if not any(self.named.get(a, ("",))[0] == name for a in self._ancestors(self.parent[e])):
-                group[name] = group.get(name, 0.0) + worth[e]
+        above = [0] * n  # elements of apart around
+        for e in range(1, n):
+            above[e] = above[self.parent[e]]
+            if whole[e] == e and chars[e] and not outer[e]:
+                above[e] += 1
+        group: dict[str, float] = defaultdict(float)
+        reach: dict[str, int] = {}
+        for e in sorted(self.named):
+            name = self.named[e][0]
+            if e > reach.get(name, 0):
+                reach[name] = last[e]
+                group[name] += worth[e]
         for e in range(1, n):
             if self.cut[self.parent[e]]:
                 self.cut[e] = True
             elif e in self.named:
-                name, words = self.named[e]
+                name, words, doubtful = self.named[e]
+                if doubtful and worth[e] > 0 and 2 * links[e] < chars[e]:
+                    continue
                 around = whole[self.parent[e]]
-                rival = any(a != around and not self.within(a, e) and not self.within(e, a) for a in apart)
-                inside = [a for a in articles if self.within(a, e)] if not around and not apart else []
+                within = bisect_right(apart, last[e]) - bisect_left(apart, e)
+                rival = len(apart) - within - above[e] > 0
+                inside = articles[bisect_left(articles, e) : bisect_right(articles, last[e])] if not around and not apart else []
                 # Teasers and comments come as articles too, several at a time.
                 one = sum(not whole[self.parent[a]] for a in inside) == 1 or (bool(inside) and worth[e] >= outside)
                 holds = any(self.tag[a] == "main" for a in inside) or (one and (words <= LAYOUT_WORDS or not paragraphs))
@@ -125,13 +170,10 @@ class Tree:
                 self.cut[e] = not (holds or most)
         self.blocks = [b for b in self.blocks if not self.cut[b[0]]]
 
-    def within(self, e: int, top: int) -> bool:
-        return any(a == top for a in self._ancestors(e))
-
     def _flush(self) -> None:
         text = " ".join("".join(self._text).split())
         if text:
-            owner = next(e for e in reversed(self._open) if self.tag[e] not in INLINE)
+            owner = self._block[self._open[-1]]
             if not self.cut[owner]:
                 self.blocks.append((owner, text, min(self._linked, len(text))))
         self._text, self._linked = [], 0
@@ -142,19 +184,19 @@ class Tree:
             if self.cut[self._open[-1]]:
                 return
             self._text.append(text)
-            if any(self.tag[e] == "a" for e in self._open):
+            if self._in_link[self._open[-1]]:
                 self._linked += len(" ".join(text.split()))
 
     def _close(self, names: set[str], walls: set[str]) -> None:
-        for k in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[k]]
-            if tag in names:
-                if tag not in INLINE:  # the end of an inline element does not end the block
-                    self._flush()
-                del self._open[k:]
-                return
-            if tag in walls:
-                return
+        """Close the innermost open element of these names and all in it, unless a wall lies between."""
+        k, tag = max(((self._at[x][-1], x) for x in names if self._at[x]), default=(0, ""))
+        if not k or any(self._at[x] and self._at[x][-1] > k for x in walls):
+            return
+        if tag not in INLINE:  # the end of an inline element does not end the block
+            self._flush()
+        for e in self._open[k:]:
+            self._at[self.tag[e]].pop()
+        del self._open[k:]
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag == "wbr":
@@ -174,25 +216,30 @@ class Tree:
         words = {w.lower() for w in _WORDS.findall(kind)}
         role = next((m[2].strip("\"'").lower() for m in _NAMED.finditer(attributes) if m[1].lower() == "role"), "") if "role" in attributes else ""
         cut = self.cut[top] or tag in CUT or role in CUT_ROLES
-        name, cut_words = ("", set()) if cut or tag in ("html", "body", "article", "main") else named_cut(kind)
+        name, cut_words, doubtful = ("", set(), False) if cut or tag in ("html", "body", "article", "main") else named_cut(kind)
         cut = cut or (tag == "article" and bool(words & {"comment", "comments"}))
-        inner = any(self.tag[e] in ("article", "main") for e in self._open)
+        inner = self._in_article[top]
         if tag == "header":
             cut = cut or not inner
         if cut_words == {"header"} and (inner or tag not in ("div", "section")):
             cut_words = set()
         if "hidden" in attributes and re.search(r"(^|\s)hidden(\s|=|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", attributes)):
             cut = True
-        if cut_words and inline:  # its text is part of the block around it
+        if cut_words and inline and not doubtful:  # its text is part of the block around it
             cut = True
         if cut and not self.cut[top] and inline:  # what a cut inline element holds must not join the text around it
             self._text.append(" ")
         self.tag.append(tag)
         self.parent.append(top)
         self.cut.append(cut)
-        if cut_words and not cut:
-            self.named[len(self.tag) - 1] = (name, cut_words)
-        self._open.append(len(self.tag) - 1)
+        e = len(self.tag) - 1
+        self._block.append(self._block[top] if inline else e)
+        self._in_link.append(tag == "a" or self._in_link[top])
+        self._in_article.append(inner or tag in ("article", "main"))
+        if cut_words and not cut and not inline:
+            self.named[e] = (name, cut_words, doubtful)
+        self._at[tag].append(len(self._open))
+        self._open.append(e)
 
     def _read(self, page: str) -> None:
         at, end = 0, len(page)
@@ -220,7 +267,7 @@ class Tree:
                 break
             tag, attributes, at = name[1].lower(), page[name.end() : stop - 1], stop
             if page[lt + 1] == "/":
-                if tag == "p" and not any(self.tag[e] == "p" for e in self._open):
+                if tag == "p" and not self._at["p"]:
                     self._flush()
                 elif tag in INLINE:
                     self._close({tag}, WALLS | LEAVES)
@@ -239,6 +286,7 @@ class Tree:
             self._start(tag, attributes)
             if attributes.endswith("/") and tag in ("a", "span", "svg", "math") and self._open[-1] == len(self.tag) - 1 and self.tag[-1] == tag:
                 self._open.pop()
+                self._at[tag].pop()
         self._flush()
 
     def _ancestors(self, e: int) -> Iterator[int]:
@@ -286,13 +334,13 @@ def extract(page: str | None) -> str:
     n = len(tree.tag)
     score, chars, linked = [0.0] * n, [0] * n, [0] * n
     for owner, text, links in tree.blocks:
-        for e in tree._ancestors(owner):
-            chars[e] += len(text)
-            linked[e] += links
+        chars[owner] += len(text)
+        linked[owner] += links
         share = points(text) * (1 - links / len(text))
         holder = tree.parent[owner] if tree.tag[owner] in LEAVES else owner
-        for depth, e in enumerate(tree._ancestors(holder)):
+        for depth, e in enumerate(islice(tree._ancestors(holder), 6)):
             score[e] += share if depth == 0 else share / 2 if depth == 1 else share / (3 * depth)
+    chars, linked = tree.summed(chars), tree.summed(linked)
     density = lambda e: linked[e] / chars[e] if chars[e] else 0.0
     final = [score[e] * (1 - density(e)) for e in range(n)]
     scored = [e for e in range(1, n) if final[e] > 0]
@@ -300,14 +348,17 @@ def extract(page: str | None) -> str:
         best = max(scored, key=lambda e: (final[e], -e))
     else:
         best = next((e for want in ("article", "main", "body") for e in range(1, n) if tree.tag[e] == want and chars[e]), 0)
+    kept, path = {best}, set()
     whole = next((e for want in ("article", "main") for e in tree._ancestors(best) if tree.tag[e] == want), None)
-    kept = {best if whole is None else whole}
     if whole is None and best > 0:
         kept |= _siblings(tree, best, final, chars, density)
+    elif whole not in (None, best):
+        path = set(takewhile(lambda e: e != whole, tree._ancestors(tree.parent[best]))) | {whole}
+        kept |= {e for e in range(1, n) if tree.parent[e] in path and e not in path and (density(e) < 0.5 or tree.tag[e] in LEAVES)}
     inside = [False] * n
     for e in range(n):
         inside[e] = e in kept or (e > 0 and inside[tree.parent[e]])
-    return "\n\n".join(text for owner, text, _ in tree.blocks if inside[owner])
+    return "\n\n".join(text for owner, text, links in tree.blocks if inside[owner] or (owner in path and 2 * links < len(text)))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

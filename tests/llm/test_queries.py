@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -445,6 +447,59 @@ def test_html_siblings_of_the_best_container():
     assert [x for x in text.split("\n\n") if not x.startswith("One")] == ["Steps", "Cut", "Glue", "Sizes", "Long", "2", "As told"] and text.count("One, two") == 6
 
 
+@pytest.mark.parametrize("name", ["social-science", "research-notice-history", "share-prices", "widget-economics"])
+def test_html_names_that_content_has_too(name):
+    from tessella.llm.html_extraction import extract
+
+    page = "<body><article><p>{0}</p><div class='{1}'><p>{0}</p></div><p>{0}</p></article></body>"
+    assert extract(page.format(PROSE, name)) == "\n\n".join([PROSE] * 3)
+    for box in ("social-links", "share-box", "search-form"):
+        assert extract(page.format(PROSE, box)) == "\n\n".join([PROSE] * 2)
+    links = f"<body><article><p>{PROSE}</p><div class='{name}'><a href=a>Another page of this site</a></div></article></body>"
+    assert extract(links) == PROSE
+
+
+def test_html_links_beside_the_best_container_in_an_article():
+    from tessella.llm.html_extraction import extract
+
+    links = "<ul><li><a href=a>Another page</a></li><li><a href=b>And one more</a></li></ul>"
+    page = f"<body><article><header><h1>Head</h1><p>By Jo</p></header>Own text<div><p>{PROSE}</p><p>{PROSE}</p></div><section>Short</section>{links}</article></body>"
+    assert extract(page) == f"Head\n\nBy Jo\n\nOwn text\n\n{PROSE}\n\n{PROSE}\n\nShort"
+
+
+@pytest.mark.parametrize("part", ["<div>x ", "<foo><a>x ", "<div class=share>x, y ", "<p><b>x </i>", "<section><h2>x</section></div>"])
+def test_html_takes_linear_time_in_depth(part):
+    from tessella.llm.html_extraction import extract
+
+    start = time.time()
+    extract(part * 100_000)
+    assert time.time() - start < 20
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_round_trip_of_made_pages(seed):
+    from tessella.llm.html_extraction import extract
+
+    rng = random.Random(seed)
+    words = lambda n: " ".join(rng.choice(("alpha", "beta,", "gamma", "delta &", "<eps>", "zeta", "eta,", "theta")) for _ in range(n))
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(" ", rng.choice((" ", "\n  ")))
+    want, body = [], []
+    for _ in range(rng.randrange(3, 12)):
+        text = words(rng.randrange(12, 60))
+        want.append(text)
+        body.append(f"<p>{escape(text)}" + rng.choice(("</p>", "")))
+        if rng.random() < 0.3:
+            rows = [words(rng.randrange(1, 6)) for _ in range(3)]
+            want += rows
+            body.append("<ul>" + "".join(f"<li>{escape(t)}" + rng.choice(("</li>", "")) for t in rows) + "</ul>")
+        if rng.random() < 0.3:
+            body.append(rng.choice(("<div class='ad'>Buy, buy, buy this, now, or never at all!</div>", "<aside><p>Not this, and not that, either way.</p></aside>", "<script>var p = '<p>no</p>';</script>", "<div class='share-buttons'><a href=x>Share</a></div>", "<!-- <p>no</p> -->")))
+    inner = "".join(body)
+    inner = rng.choice(("<article>{}</article>", "<div class='post'>{}</div>", "<main><div>{}</div></main>", "<div><div>{}</div></div>")).format(inner)
+    page = f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{inner}<div class='comments'><p>{'Great, really, ' * 9}</p></div><footer><p>Imprint, terms, and so on, all rights held.</p></footer></body></html>"
+    assert extract(page).split("\n\n") == want
+
+
 def test_warc(spark, corpus):
     from tessella.llm import warc
 
