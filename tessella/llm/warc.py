@@ -4,8 +4,10 @@
 rest) and writes them through Spark's text writer with the record terminator as line separator, so every part file
 is a valid archive in whatever store the shared folder is.  ``read_archives`` parses the files again by
 Content-Length.  ``build_index`` sorts captures by reversed-host URL key into zlib-compressed blocks (the second
-level) and keeps the first and last key beside each block (the first level); ``lookup`` scans these keys, bisects the
-lines of a block, then reads just the record's byte range through Hadoop's file system.
+level), then writes a sparse directory of them apart, in key order: first and last key, file, offset and length of each
+block (the first level).  ``lookup`` binary-searches the directory by byte position, reads the blocks that can hold the
+key by range, bisects their lines, and reads just the records' byte ranges, all through Hadoop's file system: it starts
+no job and loads neither level.
 
 Payloads that occur once are written where they are read; a bitmap of fixed size tells them.  The others travel
 compressed through the one shuffle that joins them to their decision.  The join is on page_id, the decision per payload
@@ -13,6 +15,8 @@ is an aggregate, so equal payloads by the million meet in no task.
 
 Null html is an empty payload; null urls are written as an empty target; equal page_ids with equal payloads are one
 capture each and, if theirs is the largest id, each a response; empty tables give empty archives and an empty index.
+Captures with equal keys may fill many blocks; a lookup gives them all, ties in order of the captures' text.  page_id is
+a long.
 Payloads shorter than ``min_bytes`` are never revisits.
 """
 
@@ -21,9 +25,11 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -164,55 +170,139 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, FIELDS)
 
 
-def build_index(captures: DataFrame, per_block: int = 2000) -> DataFrame:
-    """Blocks in key order: first_key, last_key, n and the compressed lines.  first_key and last_key are the directory."""
+class Index(NamedTuple):
+    """Folders of the two levels: files of blocks, and files of the directory."""
+
+    blocks: str
+    directory: str
+
+
+def build_index(captures: DataFrame, per_block: int = 2000, block_bytes: int = 4_000_000) -> Index:
+    """Writes both levels.
+
+    A line of a block file is a block: number of captures, first and last key, compressed captures.  A line of a
+    directory file is a block's first and last key, number, file, offset and length.  Keys are in hexadecimal, which
+    keeps their order.  Blocks end after ``per_block`` captures or ``block_bytes`` characters.
+    """
+    spark = captures.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[str, str]] = []
+        size = 0
 
-        def block(rows: list[tuple[str, str]]) -> pa.RecordBatch:
-            data = zlib.compress("\n".join(x for _, x in rows).encode(), 6)
-            return pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([rows[-1][0]]), pa.array([len(rows)], pa.int64()), pa.array([data], pa.binary())], ["first_key", "last_key", "n", "data"])
+        def block() -> pa.RecordBatch:
+            data = base64.b64encode(zlib.compress("\n".join(x for _, x in held).encode(), 6)).decode()
+            return pa.RecordBatch.from_arrays([pa.array([f"{len(held)} {_hex(held[0][0])} {_hex(held[-1][0])} {data}"])], ["value"])
 
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-            while len(held) > per_block:
-                yield block(held[:per_block])
-                held = held[per_block:]
+            for key, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.append((key, line))
+                size += len(line)
+                if len(held) >= per_block or size >= block_bytes:
+                    yield block()
+                    held, size = [], 0
         if held:
-            yield block(held)
+            yield block()
 
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows, at = [], 0
+                for line in content.as_py().split(b"\n"):
+                    if line:
+                        n, first, last, _ = line.split(b" ", 3)
+                        rows.append((first.decode(), last.decode(), int(n), file.rsplit("/", 1)[1], at, len(line)))
+                    at += len(line) + 1
+                yield pa.RecordBatch.from_pylist([dict(zip(_ENTRY.names, r, strict=True)) for r in rows], schema=_ENTRY)
+
+    index = Index(scratch_path(spark, "index-blocks"), scratch_path(spark, "index-directory"))
     lines = captures.select("key", F.to_json(F.struct(*captures.columns), {"ignoreNullFields": "false"}).alias("line"))
-    return stored(lines.repartitionByRange(F.col("key"), F.col("line")).sortWithinPartitions("key", "line").mapInArrow(run, "first_key string, last_key string, n long, data binary"), "index")
-
+    ordered = lines.repartitionByRange(F.col("key"), F.col("line")).sortWithinPartitions("key", "line")
+    ordered.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 256).text(index.blocks)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(index.blocks).select("path", "content")
+    directory = files.mapInArrow(entries, "first string, last string, n long, file string, offset long, length long")
+    order = ["first", "last", "file", "offset"]
+    directory.repartitionByRange(*order).sortWithinPartitions(*order).select(F.concat_ws(" ", *_ENTRY.names).alias("value")).write.text(index.directory)
+    return index
 
-def index_lines(index: DataFrame) -> DataFrame:
-    """All captures of the index's blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for data in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(zlib.decompress(data.as_py()).decode().split("\n"))], ["line"])
+_ENTRY = pa.schema([("first", pa.string()), ("last", pa.string()), ("n", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
-    return index.select("data").mapInArrow(run, "line string").select(F.from_json("line", FIELDS).alias("c")).select("c.*")
 
+def _hex(key: str) -> str:
+    """A key's bytes in hexadecimal; a lone dot before them, so that an empty key is a word too."""
+    return "." + key.encode().hex()
 
-def lookup(spark: SparkSession, index: DataFrame, url: str) -> list[tuple[dict, bytes]]:
-    """The captures of one URL and their records, read by byte range.
 
-    The directory is searched where it lies (its rows are one a block); only blocks that can hold the key come here.
-    """
-    import json
+def index_lines(spark: SparkSession, index: Index) -> DataFrame:
+    """All captures of the index's blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for value in b.column(0):
+                data = base64.b64decode(value.as_py().rsplit(" ", 1)[1])
+                yield pa.RecordBatch.from_arrays([pa.array(zlib.decompress(data).decode().split("\n"))], ["line"])
+
+    return spark.read.text(index.blocks).mapInArrow(run, "line string").select(F.from_json("line", FIELDS).alias("c")).select("c.*")
+
+
+class _Sorted:
+    """The lines of a file of the directory, read by range."""
+
+    def __init__(self, spark: SparkSession, file: str, size: int, chunk: int = 4096):
+        self.spark, self.file, self.size, self.chunk = spark, file, size, chunk
+
+    def line(self, at: int) -> tuple[int, list[str]] | None:
+        """Start and words of the first line that starts at byte ``at`` or later."""
+        base, data, width = max(at - 1, 0), b"", self.chunk
+        while True:
+            start = 0 if at == 0 else data.find(b"\n") + 1
+            stop = data.find(b"\n", start) if start or at == 0 else -1
+            if stop >= 0:
+                return base + start, data[start:stop].decode().split(" ")
+            if base + len(data) >= self.size:  # every line ends in a newline
+                return None
+            data += read_range(self.spark, self.file, base + len(data), min(width, self.size - base - len(data)))
+            width *= 2
+
+    def first_not_before(self, key: str) -> int:
+        """Where to read the first line whose last key is not less than ``key``."""
+        lo, hi = 0, self.size
+        while lo < hi:
+            mid = (lo + hi) // 2
+            got = self.line(mid)
+            if got is None or got[1][1] >= key:
+                hi = mid
+            else:
+                lo = got[0] + 1
+        return lo
+
+
+def _entries(spark: SparkSession, index: Index, key: str) -> Iterator[list[str]]:
+    """The directory's entries of blocks that can hold ``key``, in order."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.directory)
+    status = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    named = [(x.getPath().getName(), x.getPath().toString(), x.getLen()) for x in status]
+    files = [_Sorted(spark, path, size) for _, path, size in sorted((x for x in named if x[0].startswith("part-") and x[2]), key=lambda x: (int(x[0].split("-")[1]), x[0]))]
+    k = max(bisect.bisect_left(files, key, key=lambda f: f.line(0)[1][1]) - 1, 0)
+    at = files[k].first_not_before(key) if files else 0
+    for file in files[k:]:
+        while (got := file.line(at)) is not None:
+            if got[1][0] > key:
+                return
+            yield got[1]
+            at = got[0] + 1
+        at = 0
+
+
+def lookup(spark: SparkSession, index: Index, url: str) -> Iterator[tuple[dict, bytes]]:
+    """The captures of one URL and their records, in order of the index; one block is held at a time."""
     key = surt(url)
-    found = []
-    for row in index.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("first_key").toLocalIterator():
-        lines = zlib.decompress(bytes(row["data"])).decode().split("\n")
-        captures = [json.loads(x) for x in lines]
-        keys = [c["key"] for c in captures]
-        for c in captures[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-            found.append((c, read_range(spark, c["file"], c["offset"], c["length"])))
-    return found
+    for _, _, _, file, offset, length in _entries(spark, index, _hex(key)):
+        line = read_range(spark, f"{index.blocks}/{file}", int(offset), int(length)).decode()
+        captures = [json.loads(x) for x in zlib.decompress(base64.b64decode(line.rsplit(" ", 1)[1])).decode().split("\n")]
+        for c in captures[bisect.bisect_left(captures, key, key=lambda c: c["key"]) : bisect.bisect_right(captures, key, key=lambda c: c["key"])]:
+            yield c, read_range(spark, c["file"], c["offset"], c["length"])
 
 
 def read_range(spark: SparkSession, file: str, offset: int, length: int) -> bytes:
@@ -231,7 +321,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives, read back and indexed; the rows are decoded from the index's blocks."""
     path = write_archives(table(spark, sf_dir, "pages"))
     index = build_index(read_archives(spark, path))
-    return index_lines(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length")
+    return index_lines(spark, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length")
 
 
 QUERIES = {"op9_warc": op9_warc}

@@ -518,16 +518,46 @@ def test_warc(spark, corpus):
     path = warc.write_archives(pages)
     index = warc.build_index(warc.read_archives(spark, path), per_block=2)
     found = warc.lookup(spark, index, "http://www.a.example/x?b=1")
+    found = list(found)
     assert sorted(c["page_id"] for c, _ in found) == [1, 2, 2, 6]
     for capture, record in found:
         (_, length, head, body), = warc.parse(record)
         assert length == capture["length"] and int(head["X-Page-Id"]) == capture["page_id"]
         assert capture["record_type"] == "revisit" or warc.digest_of(body) == capture["payload_digest"]
-    assert warc.lookup(spark, index, "http://nowhere.example/") == []
+    assert list(warc.lookup(spark, index, "http://nowhere.example/")) == []
     small = [r["record_type"] for r in warc.read_archives(spark, warc.write_archives(pages, min_bytes=10**6)).collect()]
     assert set(small) == {"response"}
 
 
+@pytest.mark.parametrize("per_block", [1, 3, 50])
+def test_warc_lookup_finds_every_capture_by_binary_search(spark, per_block):
+    from tessella.llm import warc
+
+    rng = random.Random(per_block)
+    hosts = ["a.example", "b.example", "a.b.example", "é.example", ""]
+    urls = ["http://hot.example/" for _ in range(40)] + [f"http://{rng.choice(hosts)}/{rng.choice('xyz') * rng.randrange(9)}?q={rng.randrange(9)}" for _ in range(80)] + ["", "http://long.example/" + "p" * 20_000]
+    pages = spark.createDataFrame([(k, u, f"<p>{k}") for k, u in enumerate(urls)], "page_id long, url string, html string").repartition(3)
+    index = warc.build_index(warc.read_archives(spark, warc.write_archives(pages)), per_block=per_block)
+    want = defaultdict(list)
+    for k, u in enumerate(urls):
+        want[warc.surt(u)].append(k)
+    lines = warc.index_lines(spark, index)
+    assert sorted(r["page_id"] for r in lines.select("page_id").collect()) == list(range(len(urls)))
+    for u in {*urls[::5], urls[0], urls[-2], urls[-1], "http://hot.example/a", "http://zzz.zz/", "http://0/"}:
+        found = list(warc.lookup(spark, index, u))
+        assert sorted(c["page_id"] for c, _ in found) == want[warc.surt(u)], u
+        for c, record in found:
+            (_, _, head, body), = warc.parse(record)
+            assert int(head["X-Page-Id"]) == c["page_id"] and body == f"<p>{c['page_id']}".encode()
+
+
+def test_warc_index_of_nothing(spark):
+    from tessella.llm import warc
+
+    index = warc.build_index(spark.createDataFrame([], warc.FIELDS))
+    assert list(warc.lookup(spark, index, "http://a.example/")) == [] and warc.index_lines(spark, index).count() == 0
+
+
 def components(documents):
     sets = [(d[0], shingles(d[1])) for d in documents]
     holders, parent = defaultdict(list), {}
