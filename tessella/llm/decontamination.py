@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm import textkit as tk
-from tessella.tables import table, with_row_key
+from tessella.tables import drop_since, mark, stored, table
 
 PERMUTATIONS = 128
 BLOCK_BYTES = 4_000_000
@@ -172,11 +172,14 @@ def _holds(own: np.ndarray, block: Items, k: int, n: int) -> bool:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no test item.
 
-    The match is the row's own: documents without an id, and those that share one, stay or go each by its own text.
+    A match goes by a digest of the text and not by id: documents without an id, and those that share one, stay or go
+    each by its own text, and no copy of the documents is written.
     """
-    rows = with_row_key(docs, "decontamination_rows")
-    found = matches(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(found, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = tk.row_digest("text")
+    since = mark()
+    found = stored(matches(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct(), "matched")
+    drop_since(spark, since, found)
+    return docs.join(found, key == found["__row"], "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import docstats
-from tessella.tables import drop_since, drop_stored, mark, stored, table, with_row_key
+from tessella.llm import textkit as tk
+from tessella.tables import drop_since, drop_stored, mark, stored, table
 
 VECTOR = ["x_words", "x_length", "x_symbols", "x_dup", "x_repeat", "x_upper", "x_loud", "x_caps"]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -140,13 +141,15 @@ def verdicts(docs: DataFrame, min_group: int = 50, cutoff: float = 0.99999, key:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, with the columns they came with.
 
-    The verdict is the row's own: documents without an id, and those that share one, stay or go each by its own text.
+    A verdict follows from text, language and source, so it goes by a digest of these and not by id: documents without
+    an id, and those that share one, stay or go each by its own text, and no copy of the documents is written.
     """
     since = mark()
-    rows = with_row_key(docs, "quality_rows")
-    verdict = stored(verdicts(rows, key="__row").where("not kept").select("__row"), "rejected")
-    drop_since(spark, since, rows, verdict)
-    return rows.join(verdict, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = tk.row_digest("text", "lang", "source")
+    rejected = verdicts(docs.select(key.alias("__row"), "text", "lang", "source"), key="__row").where("not kept").select("__row")
+    verdict = stored(rejected.distinct(), "rejected")
+    drop_since(spark, since, verdict)
+    return docs.join(verdict, key == verdict["__row"], "left_anti")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

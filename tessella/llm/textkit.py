@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -178,3 +180,8 @@ def freeing_cogroup(f: Callable) -> Callable:
             release()
 
     return run
+
+
+def row_digest(*columns: str) -> Column:
+    """128 bits that tell rows apart by these columns alone; null differs from any value."""
+    return F.unhex(F.md5(F.to_json(F.struct(*columns)).cast("binary")))
