@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessella.llm import textkit as tk
 
@@ -85,15 +86,16 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and the COUNTS of ``text``; the text itself goes no further."""
+def statistics(docs: DataFrame, keep: list[str], text: bool = False) -> DataFrame:
+    """The columns ``keep`` and the COUNTS of ``text``; the text itself goes no further, or else as ``__text``."""
     given = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1]), *(f"{k} bigint" for k in COUNTS)])
+    passed = [*keep, *["__text"] * text]
+    schema = StructType([*(given.schema[k] for k in passed), *(StructField(k, LongType()) for k in COUNTS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = counts(batch.column(len(keep)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(found[k]) for k in COUNTS)], [*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(passed)], *(pa.array(found[k]) for k in COUNTS)], [*passed, *COUNTS])
 
     return given.mapInArrow(tk.freeing(run), schema)
 

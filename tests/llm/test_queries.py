@@ -140,6 +140,21 @@ def test_quality_rules_judge_rare_groups(spark):
     assert all(kept[i] == (i < 2000) for i in kept)
 
 
+def test_quality_stage_deals_no_documents_out(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quality_rules.stage(spark, docs, corpus)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        kept = Counter(r["doc_id"] for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert out.schema == docs.schema
+    verdict = run(spark, corpus, "op2_quality_rules")
+    assert kept == Counter(verdict[verdict["kept"]]["doc_id"]) and 0 < sum(kept.values()) < docs.count()
+
+
 def test_pii(spark, corpus, documents):
     patterns = [re.compile(p) for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")]
     checks = [lambda s: True, lambda s: all(int(x) <= 255 for x in s.split(".")), lambda s: 12 <= len(pii._digits(s)) <= 19 and pii.luhn(pii._digits(s)), lambda s: 9 <= len(pii._digits(s)) <= 15]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.graph import Graph
-from tessella.operators import layout, ranking, stats, traversal
+from tessella.operators import components, layout, ranking, stats, traversal
 from tessella.operators.components import star_components
 from tessella.plans import loop
 from tessella.plans.registry import TABLE
@@ -122,6 +122,23 @@ def test_random_graphs(spark, seed):
     assert all(least[i] == c for i, c in found)
 
 
+def test_few_edges_are_joined_at_once(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(70)] + [(None, 3), (4, None), (7, 7)]
+    found, tables, write = [], [], components.stored
+    monkeypatch.setattr(components, "stored", lambda *a: tables.append(a[1]) or write(*a))
+    for kind in ("long", "int"):
+        edges = spark.createDataFrame(pairs, f"u {kind}, v {kind}")
+        out = star_components(edges)
+        assert [k for _, k in out.dtypes] == [k for _, k in edges.dtypes]
+        found.append(sorted(rows(out, "id", "component")))
+        assert out.count() == len(found[-1])
+    assert len(tables) == 2  # one for each: no rounds
+    monkeypatch.setattr(components, "FEW", 0)
+    found.append(sorted(rows(star_components(edges), "id", "component")))
+    assert len(tables) > 4 and all(x == found[0] for x in found) and (60, 0) in found[0]
+
+
 def test_files(spark, t8, tmp_path):
     want = Counter(T8)
     back = lambda g: Counter(tuple(r) for r in g.edges.select("src", "dst", *(["weight"] if g.weighted else [])).collect())
