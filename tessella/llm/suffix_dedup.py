@@ -23,6 +23,7 @@ a null id is larger than any other; an empty table gives none.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +42,12 @@ WIDE = GRAM + 2 * REACH
 BATCH_BYTES = 16_000_000
 SA_BYTES = 3_000_000
 HOT = 5_000  # different windows of one anchor beyond which their strings travel as digests
-_PAD = 256
 _rng = np.random.default_rng(424242)
 _T = _rng.integers(1, 2**63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0xA24BAED4963EE407)
 U = np.uint64
+CHUNK = 1 << 18
+_UP, _DOWN = (np.cumprod(np.concatenate([np.ones(1, U), np.full(CHUNK + 2 * WIDE - 1, U(x))]), dtype=U) for x in (int(_M), pow(int(_M), -1, 2**64)))
 NONE = np.uint64(2**63 - 1)
 #: Parts of a window, each shared by all strings with so many bytes before the anchor: (from, to) within the window.
 #: Strings with 26 to 34, 18 to 25, 9 to 17 and 0 to 8 bytes before the anchor.
@@ -216,16 +218,35 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def run_hashes(data: np.ndarray, at: np.ndarray, froms: np.ndarray, tos: np.ndarray) -> np.ndarray:
+    """For each position of ``at`` (ascending), hashes of runs around it, one a column: from and to are within WIDE bytes
+    of it.  A run costs two running sums, whatever its length."""
+    out = np.zeros(froms.shape, U)
+    for lo in range(0, len(data), CHUNK):
+        a, z = np.searchsorted(at, [lo, lo + CHUNK])
+        if a == z:
+            continue
+        base = max(0, lo - WIDE)
+        own = data[base : lo + CHUNK + WIDE]
+        total = np.zeros(len(own) + 1, U)
+        np.cumsum(_T[own] * _UP[: len(own)], out=total[1:])
+        begin = froms[a:z] - base
+        out[a:z] = (total[tos[a:z] - base] - total[begin]) * _DOWN[begin]
+    return out
+
+
 class Batch:
     """A batch of documents and what it asks and is answered; everything can be made again from the table."""
 
-    def __init__(self, state: pa.Table, shares: int):
+    def __init__(self, state: pa.Table, shares: int, answers: dict | None = None):
         row = {k: state.column(k)[0].as_py() for k in ("batch", "ids", "sizes", "text", "anchors")}
         self.name, self.ids, self.shares = row["batch"], row["ids"], shares
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8)
         self.offs = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
         self.key = np.array([NONE if i is None else np.int64(i).astype(U) ^ U(2**63) for i in self.ids], U) if self.ids else np.zeros(0, U)
-        self.at = np.cumsum(unpack(row["anchors"])).astype(np.int64)
+        known = [x for (kind, _), x in (answers or {}).items() if kind == 0]
+        self.placed_before = bool(known)  # then only the shared anchors are left
+        self.at = np.cumsum(unpack(known[0] if known else row["anchors"])).astype(np.int64)
         self.doc = np.searchsorted(self.offs, self.at, "right") - 1
         h = np.zeros(len(self.at), U)
         for i in range(GRAM):
@@ -242,33 +263,26 @@ class Batch:
 
     # round 1: distinct hashes
     def hashes(self) -> None:
-        order = np.lexsort((self.owner, self.h))
+        order = np.argsort(self.h)
         h, owner = self.h[order], self.owner[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(h)) - 1
-        self.h1, self.many = h[first], owner[first] != owner[last] if len(h) else np.zeros(0, bool)
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.h1, self.which = h[first], np.empty(len(h), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(h) else np.zeros(0, bool)
 
     def shared(self, answers: dict) -> None:
-        self.hashes()
-        hit = np.zeros(len(self.h1), bool)
-        for s, at in self.spread(self.h1):
-            hit[at] = np.unpackbits(np.frombuffer(answers[1, s], np.uint8), count=len(at)).astype(bool)
-        good = hit[np.searchsorted(self.h1, self.h)] if len(self.h) else np.zeros(0, bool)
-        self.at, self.doc, self.h, self.owner = self.at[good], self.doc[good], self.h[good], self.owner[good]
-        # Windows, padded where the text ends.
+        if not self.placed_before:
+            self.hashes()
+            hit = np.zeros(len(self.h1), bool)
+            for s, at in self.spread(self.h1):
+                hit[at] = np.unpackbits(np.frombuffer(answers[1, s], np.uint8), count=len(at)).astype(bool)
+            good = hit[self.which]
+            self.at, self.doc, self.h, self.owner = self.at[good], self.doc[good], self.h[good], self.owner[good]
+        # Windows, cut where the text ends.
         lo, hi = self.offs[self.doc], self.offs[self.doc + 1]
         self.left, self.right = np.minimum(self.at - lo, REACH), np.minimum(hi - self.at - GRAM, REACH)
-        digest, parts = np.zeros(len(self.at), U), [np.zeros(len(self.at), U) for _ in PARTS]
-        for k in range(WIDE):
-            at = self.at + (k - REACH)
-            byte = np.where((at >= lo) & (at < hi), self.data[np.clip(at, 0, len(self.data) - 1)], _PAD)
-            value = _T[byte]
-            digest = digest * _M + value
-            for p, (a, z) in zip(parts, PARTS, strict=True):
-                if a <= k < z:
-                    p *= _M
-                    p += value
-        self.window, self.parts = tk.mix(digest), [tk.mix(p) & U(0xFFFF) for p in parts]
+        self.window = self.parts_of([(0, WIDE)])[0]
         order = np.lexsort((self.owner, self.window, self.h))
         self.order = order
         h, w = self.h[order], self.window[order]
@@ -277,6 +291,14 @@ class Batch:
         self.of = np.empty(len(h), np.int64)
         self.of[order] = np.cumsum(new) - 1
 
+    def parts_of(self, parts: list[tuple[int, int]]) -> list[np.ndarray]:
+        """Hashes of parts of the windows; parts that the text's ends cut differently differ."""
+        begin, end = (self.at - self.left)[:, None], (self.at + GRAM + self.right)[:, None]
+        froms, tos = (self.at[:, None] - REACH + np.array(x) for x in zip(*parts, strict=True))
+        found = run_hashes(self.data, self.at, np.clip(froms, begin, end), np.clip(tos, begin, end))
+        found += (np.maximum(begin - froms, 0) * 256 + np.maximum(tos - end, 0)).astype(U) * _M
+        return [tk.mix(x) for x in found.T]
+
     def placed(self, answers: dict) -> None:
         self.shared(answers)
         self.status = np.zeros(len(self.rep), np.uint8)
@@ -291,16 +313,13 @@ class Batch:
             most[own], least[own] = np.maximum(most[own], hi), np.minimum(least[own], lo)
         self.ask_left, self.ask_right = np.minimum(self.left[self.ask], most), np.minimum(self.right[self.ask], REACH - least)
         # Strings of hot windows: digests and their least owner here.
-        digests, self.gram_at, self.gram_owner = [np.zeros(0, U)], [np.zeros(0, np.int64)], None
         members = np.flatnonzero(self.status[self.of] == 4)
-        for j in range(REACH + 1):
-            ok = members[(self.left[members] >= j) & (self.right[members] >= REACH - j)]
-            value = np.zeros(len(ok), U)
-            for k in range(SPAN):
-                value = value * _M + _T[self.data[self.at[ok] - j + k]]
-            digests.append(tk.mix(value))
-            self.gram_at.append(self.at[ok] - j)
-        self.digest, self.gram_at = np.concatenate(digests), np.concatenate(self.gram_at)
+        before, at = np.arange(REACH + 1), self.at[members, None]
+        begin = at - before
+        ok = (self.left[members, None] >= before) & (self.right[members, None] >= REACH - before)
+        begin = np.where(ok, begin, at)  # a run of no bytes
+        found = run_hashes(self.data, self.at[members], begin, np.where(ok, begin + SPAN, at))
+        self.digest, self.gram_at = tk.mix(found[ok]), begin[ok]
         self.gram_owner = self.key[np.searchsorted(self.offs, self.gram_at, "right") - 1] if len(self.gram_at) else np.zeros(0, U)
         order = np.lexsort((self.gram_owner, self.digest))
         d = self.digest[order]
@@ -407,6 +426,9 @@ def _answer(group: pa.Table) -> pa.Table:
     out = []
     for kind in sorted({r["kind"] for r in rows}):
         own = [r for r in rows if r["kind"] == kind]
+        if kind == 0:  # a batch's own note of its shared anchors, for the rounds to come
+            out += [(r["batch"], kind, r["share"], r["keys"]) for r in own]
+            continue
         keys = [np.cumsum(unpack(r["keys"]), dtype=U) for r in own]
         cuts = np.cumsum([0, *map(len, keys)])
         flat = np.concatenate(keys)
@@ -516,13 +538,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         b = Batch(state, shares)
         b.shared(_answers(found))
         rep = b.rep
-        parts = sum((p[rep] << U(16 * k) for k, p in enumerate(b.parts)), np.zeros(len(rep), U))
+        parts = sum(((p[rep] & U(0xFFFF)) << U(16 * k) for k, p in enumerate(b.parts_of(PARTS))), np.zeros(len(rep), U))
         zip_ = zstandard.ZstdCompressor(level=1)
-        return _request([(s, b.name, 2, _sorted_pack(b.h[rep[at]]), zip_.compress(np.stack([b.window[rep[at]], parts[at]]).tobytes()), pack(b.owner[rep[at]])) for s, at in b.spread(b.h[rep])])
+        places = (zlib.crc32(b.name.encode()) % shares, b.name, 0, pack(np.diff(b.at, prepend=0)), b"", b"")
+        return _request([places, *((s, b.name, 2, _sorted_pack(b.h[rep[at]]), zip_.compress(np.stack([b.window[rep[at]], parts[at]]).tobytes()), pack(b.owner[rep[at]])) for s, at in b.spread(b.h[rep]))])
 
     def third(state: pa.Table, found: pa.Table) -> pa.Table:
-        b = Batch(state, shares)
-        b.placed(_answers(found))
+        answers = _answers(found)
+        b = Batch(state, shares, answers)
+        b.placed(answers)
         zip_ = zstandard.ZstdCompressor(level=3)
         out = []
         for s, at in b.spread(b.h[b.ask]):
@@ -533,8 +557,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
         return _request(out)
 
     def final(state: pa.Table, found: pa.Table) -> pa.Table:
-        b = Batch(state, shares)
-        gone = b.removed(_answers(found))
+        answers = _answers(found)
+        b = Batch(state, shares, answers)
+        gone = b.removed(answers)
         n, runs, digest = [], [], []
         for lo, hi in zip(b.offs[:-1].tolist(), b.offs[1:].tolist(), strict=True):
             own = gone[lo:hi]

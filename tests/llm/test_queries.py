@@ -382,6 +382,43 @@ def test_suffix_dedup(spark, corpus, documents, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "_answer", answer)
 
 
+def test_window_hashes_cost_two_sums_and_shared_anchors_are_not_sought_again(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from tessella.llm import suffix_dedup
+    from tessella.llm.lm_scoring import pack
+
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)  # runs across the edges of chunks
+    passage = rng.integers(97, 103, 120)
+    data = np.concatenate([rng.integers(97, 99, 700), passage, rng.integers(97, 99, 400), passage, passage[:70]]).astype(np.uint8)
+    at = np.sort(rng.choice(np.arange(40, len(data) - 90), 400, replace=False))
+    froms, tos = at[:, None] - rng.integers(0, 3, (400, 2)), at[:, None] + rng.integers(3, 5, (400, 2))
+    got = suffix_dedup.run_hashes(data, at, froms, tos)
+    cells = [(data[froms[i, k] : tos[i, k]].tobytes(), int(got[i, k])) for i in range(400) for k in (0, 1)]
+    assert len(set(cells)) == len({x for x, _ in cells}) == len({x for _, x in cells}) > 20
+
+    offs = np.array([0, 820, 1340, len(data)])
+    found = suffix_dedup.anchors(data, offs)
+    state = {"batch": ["b"], "ids": [[1, 2, 3]], "sizes": [np.diff(offs).tolist()], "text": [zstandard.ZstdCompressor().compress(data.tobytes())], "anchors": [pack(np.diff(found, prepend=0))]}
+    state = pa.table({k: pa.array(v, pa.binary()) if k in ("text", "anchors") else v for k, v in state.items()})
+    first = suffix_dedup.Batch(state, 1)
+    first.hashes()
+    many = first.many[np.searchsorted(first.h1, first.h)]
+    first.shared({(1, 0): np.packbits(first.many).tobytes()})
+    assert 0 < many.sum() < len(found) and (first.at == found[many]).all()
+    monkeypatch.setattr(suffix_dedup.Batch, "hashes", None)  # later rounds read the anchors that the second one noted
+    later = suffix_dedup.Batch(state, 1, {(0, 0): pack(np.diff(first.at, prepend=0))})
+    later.shared({})
+    assert all((getattr(first, k) == getattr(later, k)).all() for k in ("at", "doc", "h", "owner", "window", "rep", "of"))
+    # Windows that the text's end cuts differ from those it does not.
+    for a, b in zip(range(len(first.at)), range(1, len(first.at)), strict=False):
+        text = lambda i: (first.left[i], first.right[i], data[first.at[i] - first.left[i] : first.at[i] + 16 + first.right[i]].tobytes())
+        assert (first.window[a] == first.window[b]) == (text(a) == text(b))
+
+
 def test_item_ids_of_any_type(spark, corpus):
     items, docs = spark.read.parquet(f"{corpus}/benchmark.parquet"), spark.read.parquet(f"{corpus}/documents.parquet")
     want = Counter((r["doc_id"], str(r["item_id"])) for r in decontamination.matches(docs, items).collect())
